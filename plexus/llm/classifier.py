@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_sample
+
 BITS = 18
 TRAIN_ROWS = 6000
 EPOCHS = 4
@@ -86,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exclude_held
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     if exclude_held_out:
         known = known.where(~is_held_out("doc_id"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = bounded_sample(known, "doc_id", rows)
     # The chosen rows are bound by ``rows``, so this side may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
