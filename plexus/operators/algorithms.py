@@ -9,11 +9,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GraphData, Source
-from .traversal import adjacency, bfs, cut, distinct_neighbors, require_nodes, weighted_edges
+from .traversal import adjacency, bfs, cut, distinct_neighbors, number_within, require_nodes, weighted_edges
 
 MULTIPLIER, INCREMENT, MASK = 6364136223846793005, 1442695040888963407, (1 << 64) - 1
 
@@ -136,8 +136,7 @@ def random_walks(data: GraphData, starts: DataFrame, steps: int, direction: str
     and one with the neighbour at the drawn place. Walks end at sinks.
     """
     nbrs = distinct_neighbors(adjacency(data, direction, edge_type))
-    w = Window.partitionBy("node").orderBy("dir", "edge_id")
-    nbrs = cut(nbrs.select("node", "nbr", (F.row_number().over(w) - 1).cast("long").alias("place")))
+    nbrs = cut(number_within(nbrs, "node", ["dir", "edge_id"], "place").select("node", "nbr", "place"))
     degrees = cut(nbrs.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
 
     def draw(batches):

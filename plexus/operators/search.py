@@ -270,8 +270,9 @@ def search_vectors(data: GraphData, index: dict, queries: list[list[float]], lab
         return data.spark.createDataFrame([], "query int, position int, id long, score double")
     best = scored(v, checked, index["metric"], limit + offset, min_score)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("position", F.row_number().over(w) - 1 - offset)
-    return ranked.where((F.col("position") >= 0) & (F.col("position") < limit)).select("query", "position", "id", "score")
+    # The bound on the row number is pushed below the shuffle.
+    ranked = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit + offset)
+    return ranked.where(F.col("n") > offset).select("query", (F.col("n") - 1 - offset).alias("position"), "id", "score")
 
 
 # Hybrid retrieval
@@ -331,7 +332,7 @@ def retrieve_context(
     level = reach = seeds.select("c", F.col("seed").alias("node"))
     adj = adjacency(data, direction, None)
     for _ in range(radius):
-        near = distinct_neighbors(adj.join(F.broadcast(level.select("node").distinct()), "node", "left_semi"))
+        near = distinct_neighbors(adj.join(level.select("node").distinct(), "node", "left_semi"))
         met = near.join(level, "node").select("c", F.col("nbr").alias("node")).distinct()
         level = cut(met.join(reach, ["c", "node"], "left_anti"))
         if level.isEmpty():

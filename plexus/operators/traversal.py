@@ -66,7 +66,7 @@ def require_nodes(data: GraphData, ids: Iterable[int]) -> None:
 def neighbors(data: GraphData, node_id: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:
     """(position, node): distinct neighbours, out edges first, then by edge id."""
     mine = adjacency(data, direction, edge_type).where(F.col("node") == node_id)
-    w = Window.orderBy("dir", "edge_id")
+    w = Window.orderBy("dir", "edge_id", "nbr")
     return distinct_neighbors(mine).select((F.row_number().over(w) - 1).alias("position"), F.col("nbr").alias("node"))
 
 
@@ -101,17 +101,28 @@ def levels(data: GraphData, starts: DataFrame, direction: str = "out", edge_type
         first = met.groupBy("start", "node").agg(F.min("via").alias("via"))
         new = first.join(seen.select("start", "node"), ["start", "node"], "left_anti")
         flat = new.select("start", "node", F.col("via.rank").alias("p"), F.col("via.dir").alias("d"), F.col("via.edge_id").alias("e"))
-        frontier = cut(_dense(flat, ["p", "d", "e", "start"]).select("start", "node", F.lit(depth).alias("depth"), "rank"))
+        frontier = cut(_dense(flat, ["p", "d", "e", "start", "node"]).select("start", "node", F.lit(depth).alias("depth"), "rank"))
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
     return seen
 
 
+def number_within(df: DataFrame, group: str, keys: list[str], name: str) -> DataFrame:
+    """Add ``name``: a row's number from 0 in its group, by ``keys``.
+
+    No group meets in one task: rows get their rank over all groups, and the
+    group's lowest rank is taken off.
+    """
+    ranked = _dense(df, [group, *keys])
+    low = ranked.groupBy(group).agg(F.min("rank").alias("__low"))
+    return ranked.join(low, group).withColumn(name, F.col("rank") - F.col("__low")).drop("rank", "__low")
+
+
 def bfs(data: GraphData, starts: DataFrame, direction: str = "out", edge_type: str | None = None, max_depth: int | None = None) -> DataFrame:
     """(start, position, node, depth) in discovery order, start included."""
-    w = Window.partitionBy("start").orderBy("depth", "rank")
-    return levels(data, starts, direction, edge_type, max_depth).select("start", (F.row_number().over(w) - 1).alias("position"), "node", "depth")
+    found = levels(data, starts, direction, edge_type, max_depth).withColumnRenamed("rank", "order")
+    return number_within(found, "start", ["depth", "order"], "position").select("start", "position", "node", "depth")
 
 
 def k_hop(data: GraphData, starts: DataFrame, hops: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:
@@ -132,11 +143,11 @@ def frontier(data: GraphData, starts: list[int], steps: int, direction: str = "o
     for _ in range(steps):
         met = level.join(nbrs, "node").select(F.col("nbr").alias("node"), F.struct("rank", "dir", "edge_id").alias("via"))
         new = met.groupBy("node").agg(F.min("via").alias("via")).join(seen.select("node"), "node", "left_anti")
-        level = cut(_dense(new.select("node", F.col("via.rank").alias("p"), F.col("via.dir").alias("d"), F.col("via.edge_id").alias("e")), ["p", "d", "e"]).select("node", "rank"))
+        level = cut(_dense(new.select("node", F.col("via.rank").alias("p"), F.col("via.dir").alias("d"), F.col("via.edge_id").alias("e")), ["p", "d", "e", "node"]).select("node", "rank"))
         if level.isEmpty():
             break
         seen = seen.unionAll(level)
-    return level.select((F.row_number().over(Window.orderBy("rank")) - 1).alias("position"), "node")
+    return level.select(F.col("rank").alias("position"), "node")
 
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"

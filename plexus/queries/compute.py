@@ -40,7 +40,7 @@ BOTH = f"with e as ({EDGES_SQL}), a as (select src as node, dst as nbr, 0 as dir
 
 def _neighbors(direction):
     test = {"out": "dir = 0", "in": "dir = 1", "both": "true"}[direction]
-    sql = BOTH % test + f" select nbr as node, cast(row_number() over (order by k) - 1 as bigint) as position from d where node = %d"
+    sql = BOTH % test + f" select nbr as node, cast(row_number() over (order by k, nbr) - 1 as bigint) as position from d where node = %d"
 
     def run(node):
         return sql % node
