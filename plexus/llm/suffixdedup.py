@@ -159,13 +159,18 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             h, c, key, place = h[order], c[order], keys[doc][order], (start << 20 | count)[order]
             yield _batch(SEGMENT, h[new], c[new], key[new], place[new])
             if not new.all():
-                yield _batch(FOUND, h[~new], c[~new], key[~new], place[~new])
+                # What is settled here travels along under a key that spreads it evenly.
+                yield _batch(FOUND, _stir((key[~new] ^ place[~new]).view(np.uint64)).view(np.int64), c[~new], key[~new], place[~new])
 
     def settle(batches):
         """Of whole minimizer groups: copies are found, different segments go on."""
         held = None
         for batch in batches:
-            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            known, part = part[0] == FOUND, part[1:]
+            if known.any():
+                yield _batch(FOUND, *(x[known] for x in part))
+                part = [x[~known] for x in part]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part, strict=True)]
             h = part[0]
@@ -257,15 +262,13 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         zero = np.zeros(len(runs), np.int64)
         yield _batch(FOUND, zero, zero, key[owner[begins]], runs)
 
-    first = materialize(docs.select("key", "text").mapInArrow(scan, ROW), "segments")
     n = shuffle_width(spark)
-    settled = first.where(f"kind = {SEGMENT}").select("h", "c", "key", "place").repartition(n, "h").sortWithinPartitions("h").mapInArrow(settle, ROW)
-    settled = materialize(settled, "settled")
+    segments_ = docs.select("key", "text").mapInArrow(scan, ROW)
+    settled = materialize(segments_.repartition(n, "h").sortWithinPartitions("h").mapInArrow(settle, ROW), "settled")
     wanted = settled.where(f"kind = {SEGMENT}").groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
     cells = docs.select("key", "text").join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut_out, "h long, key long, place long, cell binary")
     borders = cells.repartition(n, "h").sortWithinPartitions("h").mapInArrow(sort_shards, ROW)
-    found = first.where(f"kind = {FOUND}").unionAll(settled.where(f"kind = {FOUND}")).unionAll(borders)
-    return found.select("key", "place")
+    return settled.where(f"kind = {FOUND}").unionAll(borders).select("key", "place")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
