@@ -41,6 +41,7 @@ WINDOW = 100
 GRAM = 32
 BLOCK = 1 << 18
 SHARD = 1 << 20
+SLICE = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
 _powers: dict[str, np.ndarray] = {}
@@ -152,15 +153,21 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             data, at = utf8(batch.column(1))
-            h, c, doc, start, count = segments(data, at, window)
-            if not len(h):
-                continue
-            order, new = _firsts(h, c, keys[doc], start)
-            h, c, key, place = h[order], c[order], keys[doc][order], (start << 20 | count)[order]
-            yield _batch(SEGMENT, h[new], c[new], key[new], place[new])
-            if not new.all():
-                # What is settled here travels along under a key that spreads it evenly.
-                yield _batch(FOUND, _stir((key[~new] ^ place[~new]).view(np.uint64)).view(np.int64), c[~new], key[~new], place[~new])
+            first = 0
+            while first < batch.num_rows:
+                # A few megabytes of text at a time keep a worker's arrays small.
+                last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, "right")) - 1)
+                h, c, doc, start, count = segments(data, at[first : last + 1], window)
+                key = keys[first + doc]
+                first = last
+                if not len(h):
+                    continue
+                order, new = _firsts(h, c, key, start)
+                h, c, key, place = h[order], c[order], key[order], (start << 20 | count)[order]
+                yield _batch(SEGMENT, h[new], c[new], key[new], place[new])
+                if not new.all():
+                    # What is settled here travels along under a key that spreads it evenly.
+                    yield _batch(FOUND, _stir((key[~new] ^ place[~new]).view(np.uint64)).view(np.int64), c[~new], key[~new], place[~new])
 
     def settle(batches):
         """Of whole minimizer groups: copies are found, different segments go on."""
