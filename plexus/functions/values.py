@@ -4,8 +4,9 @@ A value is a column with a kind. A native column has a fixed kind (bool, int,
 float or string), so that a comparison is a plain column predicate, which reaches
 the Parquet scan; a value from a property map has the kind ``any`` and is the
 tagged struct PV. The structured query language compares type-strictly, Cypher
-lets integers and floats meet; both are two-valued, so every predicate is wrapped
-to be false where SQL would say null.
+lets integers and floats meet; both are two-valued. As a conjunct of a filter a
+null is as good as false and stays bare, so that scans can take the comparison;
+where a predicate is negated it is made false first.
 """
 
 from __future__ import annotations
@@ -112,52 +113,66 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _same(c: Column) -> Column:
+    return c
+
+
 def strict_equal(v: Value, value: Any) -> Column:
-    """Type-strict equality with a scalar; false where the property is missing."""
+    """Type-strict equality with a scalar; false or null where the property is missing."""
     kind = kind_of(value)
     if v.kind not in (kind, "any"):
         return F.lit(False)
     lit = F.lit(value).cast(SQL_TYPES[kind])
     if v.kind == kind:
         return v.column == lit
-    return _sure((v.column["t"] == kind) & (v.column[FIELDS[kind]] == lit))
+    return (v.column["t"] == kind) & (v.column[FIELDS[kind]] == lit)
 
 
 _ORDER = {"lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b}
 
 
 def strict_predicate(v: Value, op: str, value: Any) -> Column:
-    """One filter of the structured query language; never null where it matters to NOT."""
+    """One filter of the structured query language, for use as a conjunct of a filter.
+
+    It may be null where it is to be false, which a filter treats alike: wrapped
+    comparisons would not be pushed into a scan.
+    """
     if op == "eq":
-        return _sure(strict_equal(v, value))
+        return strict_equal(v, value)
     if op == "ne":
+        if v.kind == kind_of(value):
+            return v.column != F.lit(value).cast(SQL_TYPES[v.kind])
         return v.present() & ~_sure(strict_equal(v, value))
     if op == "in":
         test = F.lit(False)
         for x in value:
-            test = test | _sure(strict_equal(v, x))
+            test = test | strict_equal(v, x)
         return test
     if op == "contains":
-        return _sure(F.contains(v.of("string"), F.lit(value)))
+        return F.contains(v.of("string"), F.lit(value))
     if op not in _ORDER:
         raise ValueError(f"unsupported query filter operator '{op}'")
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         return F.lit(False)
     if v.kind == "float" or v.kind == "int" and abs(value) <= EXACT and value == int(value):
-        return _sure(_ORDER[op](v.column, F.lit(int(value) if v.kind == "int" else float(value))))
-    return _sure(_ORDER[op](v.number(), F.lit(float(value))))
+        return _ORDER[op](v.column, F.lit(int(value) if v.kind == "int" else float(value)))
+    return _ORDER[op](v.number(), F.lit(float(value)))
+
 
+def equal(a: Value, b: Value, sure: bool = True) -> Column:
+    """Cypher equality: integers and floats meet, null never equals, lists and maps neither.
 
-def equal(a: Value, b: Value) -> Column:
-    """Cypher equality: integers and floats meet, null never equals, lists and maps neither."""
+    Without ``sure`` it may be null where it is false, for use as a conjunct of a filter.
+    """
+    wrap = _sure if sure else _same
     kinds = {a.kind, b.kind}
     if kinds & {"null", "list", "map"}:
         return F.lit(False)
     if kinds & {"node", "edge"}:
-        return _sure(a.column["id"] == b.column["id"]) if len(kinds) == 1 else F.lit(False)
+        return wrap(a.column["id"] == b.column["id"]) if len(kinds) == 1 else F.lit(False)
     if "any" not in kinds:
         if a.kind == b.kind or kinds <= set(NUMERIC):
-            return _sure(a.column == b.column)
+            return wrap(a.column == b.column)
         return F.lit(False)
     test = F.lit(False)
     for kind in ("string", "bool", "int"):
@@ -168,16 +183,24 @@ def equal(a: Value, b: Value) -> Column:
     return test | _sure(mixed & (a.number() == b.number()))
 
 
+def unequal(a: Value, b: Value) -> Column:
+    """The negation of equality: a null differs from anything."""
+    kinds = {a.kind, b.kind}
+    if kinds <= set(FIELDS) and (len(kinds) == 1 or kinds <= set(NUMERIC)):
+        return (a.column != b.column) | a.column.isNull() | b.column.isNull()
+    return ~equal(a, b)
+
+
 _CYPHER = {"<": "lt", "<=": "lte", ">": "gt", ">=": "gte"}
 
 
 def ordered(a: Value, op: str, b: Value) -> Column:
-    """Cypher order: numbers with numbers, strings with strings, all else false."""
+    """Cypher order as a conjunct of a filter: numbers with numbers, strings with strings, all else false."""
     test, kinds = _ORDER[_CYPHER[op]], {a.kind, b.kind}
     if kinds & {"null", "list", "map", "node", "edge", "bool"}:
         return F.lit(False)
     if "any" not in kinds:
-        return _sure(test(a.column, b.column)) if a.kind == b.kind or kinds <= set(NUMERIC) else F.lit(False)
+        return test(a.column, b.column) if a.kind == b.kind or kinds <= set(NUMERIC) else F.lit(False)
     out = F.lit(False)
     if kinds <= {"string", "any"}:
         out = out | _sure(test(a.of("string"), b.of("string")))
@@ -189,7 +212,7 @@ def ordered(a: Value, op: str, b: Value) -> Column:
 
 def contains(a: Value, b: Value) -> Column:
     if {a.kind, b.kind} <= {"string", "any"}:
-        return _sure(F.contains(a.of("string"), b.of("string")))
+        return F.contains(a.of("string"), b.of("string"))
     return F.lit(False)
 
 
@@ -198,7 +221,7 @@ def is_in(a: Value, b: Value) -> Column:
         return F.lit(False)
     test = F.lit(False)
     for x in b.items or []:
-        test = test | equal(a, x)
+        test = test | equal(a, x, sure=False)
     return test
 
 

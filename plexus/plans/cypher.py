@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import FIELDS, Value, contains, equal, is_in, ordered, pv_column, pv_python, sort_keys
+from ..functions.values import FIELDS, Value, contains, equal, is_in, ordered, pv_column, pv_python, sort_keys, unequal
 from ..model import GraphData
 from .cypher_parser import CypherError, Path, Projection, Statement, parse, uses
 from .pattern import Bindings, EdgePattern, Needs, NodePattern, edge_record, join_paths, match_path, node_record
@@ -119,9 +119,9 @@ class Scope:
     def test(self, left: tuple, op: str, right: tuple) -> Column:
         a, b = self.value(left), self.value(right)
         if op == "=":
-            return equal(a, b)
+            return equal(a, b, sure=False)
         if op in ("<>", "!="):
-            return ~equal(a, b)
+            return unequal(a, b)
         if op == "CONTAINS":
             return contains(a, b)
         if op == "IN":
@@ -140,11 +140,11 @@ def patterns(path: Path, params: dict[str, Any], data: GraphData) -> tuple[list[
                 own = get("external_id")
                 seen = get("\0external_id")
                 if own.kind == "null":
-                    return equal(seen, v)
+                    return equal(seen, v, sure=False)
                 return F.when(own.present(), equal(own, v)).otherwise(equal(seen, v))
 
             return (("external_id", "\0external_id"), test)
-        return ((key,), lambda get: equal(get(key), v))
+        return ((key,), lambda get: equal(get(key), v, sure=False))
 
     nodes = [NodePattern(n.var, n.labels, None, None, [inline(k, scope.value(e), True) for k, e in n.properties.items()]) for n in path.nodes]
     rels = [EdgePattern(r.var, r.type, None, r.direction, [inline(k, scope.value(e), False) for k, e in r.properties.items()]) for r in path.rels]
