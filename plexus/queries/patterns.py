@@ -176,7 +176,7 @@ def dsl_cycle(spark, d):
     return _dsl(spark, d, {"node": "o"}, {"edge": "x", "type": "CONTAINS"}, {"node": "p"}, {"edge": "y", "type": "CONTAINS", "direction": "in"}, {"node": "o"})
 
 
-@query(f"select l_orderkey + {L['Order']} as o, l_orderkey * {LINES} + l_linenumber + {T['CONTAINS']} as x, l_partkey + {L['Part']} as p, l_orderkey + {L['Order']} as q from lineitem where l_quantity < 3")
+@query(f"select a.l_orderkey + {L['Order']} as o, a.l_orderkey * {LINES} + a.l_linenumber + {T['CONTAINS']} as x, a.l_partkey + {L['Part']} as p, b.l_orderkey + {L['Order']} as q from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_partkey = b.l_partkey where a.l_quantity < 3")
 def dsl_repeated_edge(spark, d):
     q = [{"property": "quantity", "op": "lt", "value": 3}]
     return _dsl(spark, d, {"node": "o"}, {"edge": "x", "type": "CONTAINS", "where": q}, {"node": "p"}, {"edge": "x", "type": "CONTAINS", "direction": "in"}, {"node": "q"})

@@ -8,6 +8,8 @@ match it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,7 @@ def space(spark: SparkSession, sf_dir: str) -> GraphData:
     g = graph(spark, sf_dir, ("Embedding",), ())
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + LABELS["Embedding"]).alias("entity_id"), F.col("embedding").alias("vector"))
     names = ("cosine", "dot", "euclidean")
-    rows = vectors.select(F.explode(F.array(*map(F.lit, names))).alias("index_name"), "entity_id", "vector")
+    # A literal name a branch: a search of one index prunes the other branches.
+    rows = reduce(DataFrame.unionAll, [vectors.select(F.lit(m).alias("index_name"), "entity_id", "vector") for m in names])
     index = {m: {"name": m, "target": "node", "dimensions": 64, "metric": m, "model": None, "model_version": None} for m in names}
     return g.with_table("vectors", rows).with_(vector=index)
