@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_folder, write_file
+from .common import bounded_sample, filesystem, new_folder, write_file
 from .tokens import public_path, word_encoder
 
 MAGIC = b"PXTOKF1"
@@ -129,17 +129,15 @@ class TokenFiles:
     bases: list[tuple[int, int, int]]  # (shard, documents, ids before it)
 
     def dictionary(self) -> bytes:
-        system, name = filesystem(f"{self.folder}/dictionary")
-        with system.open_input_stream(name) as source:
-            return source.read()
+        return read_dictionary(self.folder)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
-        folder, me = self.folder, self
+        folder = self.folder
         table = spark.sparkContext.broadcast({shard: before for shard, _, before in self.bases})
 
         def run(batches):
-            dictionary = me_dictionary(folder)
+            dictionary = read_dictionary(folder)
             for batch in batches:
                 for shard in batch.column(0).to_pylist():
                     if shard not in table.value:
@@ -155,13 +153,14 @@ class TokenFiles:
                     whole = pa.Table.from_arrays([keys, starts, pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     yield from whole.to_batches(max_chunksize=50_000)
 
-        del me
         shards = 1 + max((s for s, _, _ in self.bases), default=0)
         return spark.range(0, shards, 1, shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def me_dictionary(folder: str) -> bytes:
-    return TokenFiles(folder, []).dictionary()
+def read_dictionary(folder: str) -> bytes:
+    system, name = filesystem(f"{folder}/dictionary")
+    with system.open_input_stream(name) as source:
+        return source.read()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, folder: str | None = None) -> TokenFiles:
@@ -175,7 +174,7 @@ def write_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
     folder = folder or new_folder(spark, "tokens")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     short = slim.where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = short.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).select("text").collect()
+    sample = bounded_sample(short, "doc_id", SAMPLE_DOCS).select("text").collect()
     encoder = word_encoder(path)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     dictionary = train_dictionary([np.frombuffer(encoder.encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in sample])
