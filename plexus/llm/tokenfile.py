@@ -173,8 +173,7 @@ def write_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
     path = public_path(tokenizer)
     folder = folder or new_folder(spark, "tokens")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    short = slim.where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = bounded_sample(short, "doc_id", SAMPLE_DOCS).select("text").collect()
+    sample = bounded_sample(slim, "doc_id", SAMPLE_DOCS).where(F.octet_length("text") <= SAMPLE_BYTES).select("text").collect()
     encoder = word_encoder(path)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     dictionary = train_dictionary([np.frombuffer(encoder.encode(r.text), "<u4").astype(f"<u{width}").tobytes() for r in sample])
