@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexus.llm import classifier, decontaminate, packing, simhash, suffixdedup
+from plexus.llm import classifier, decontaminate, jaccard, packing, suffixdedup
 from plexus.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each SimHash component (op 1).
+    """One document, the one with the smallest doc_id, of each component of near copies.
+
+    Near copies have a Jaccard similarity of 0.8 or more over their five-word shingles.
 
     Rows whose doc_ids are null or repeated are told apart by a key of their own.
     """
@@ -33,8 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         docs = materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
     else:
         docs = docs.withColumn("__key", F.col("doc_id"))
-    groups = simhash.near_groups(docs.select(F.col("__key").alias("doc_id"), "text"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__key"))
+    gone = jaccard.later_copies(docs.select(F.col("__key").alias("key"), "text")).withColumnRenamed("key", "__key")
     return docs.join(gone, "__key", "left_anti").select(*COLUMNS)
 
 
@@ -57,7 +58,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("SimHash near-dedup", near_dedup_stage),
+    ("Jaccard near-dedup", near_dedup_stage),
     ("suffix-array dedup", repeats_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
