@@ -174,15 +174,15 @@ def _vectors(data: GraphData, index: dict, labels, edge_type, properties) -> Dat
     return v
 
 
-def _check_min(min_score: float | None, limit: int) -> None:
+def _check_min(min_score: float | None, limit: int | None) -> None:
     if limit == 0:
         raise ValueError("limit must be greater than zero")
     if min_score is not None and not math.isfinite(min_score):
         raise ValueError("min_score must be finite")
 
 
-def search_vector(data: GraphData, index: dict, query: list[float], labels=None, edge_type=None, properties=None, min_score: float | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """(id, score) by falling score, then id."""
+def search_vector(data: GraphData, index: dict, query: list[float], labels=None, edge_type=None, properties=None, min_score: float | None = None, limit: int | None = 20, offset: int = 0) -> DataFrame:
+    """(id, score) by falling score, then id; all of them if ``limit`` is None."""
     _check_min(min_score, limit)
     q = check_vector(index, query, "query vector")
     v = _vectors(data, index, labels, edge_type, properties)
@@ -193,7 +193,8 @@ def search_vector(data: GraphData, index: dict, query: list[float], labels=None,
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)
     out = out.orderBy(F.desc("score"), "id")
-    return (out.offset(offset) if offset else out).limit(limit)
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
 
 
 def scored(vectors: DataFrame, queries: list[list[float]], metric: str, keep: int | None = None, min_score: float | None = None) -> DataFrame:

@@ -301,7 +301,7 @@ def vec_euclidean(spark, d):
 
 @query(vector_sql("cosine", tail="", more="score >= 0.1"))
 def vec_min_score(spark, d):
-    return _vec(spark, d, "cosine", min_score=0.1, limit=1_000_000)
+    return _vec(spark, d, "cosine", min_score=0.1, limit=None)
 
 
 @query(vector_sql("cosine", "label = 3", "order by score desc, id limit 10 offset 2"))

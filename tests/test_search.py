@@ -4,6 +4,7 @@ import pytest
 from plexus.functions.embedding import Embedder
 from plexus.graph import Graph
 from plexus.operators import search
+from plexus.queries import QUERIES
 from plexus.sources import files
 
 
@@ -155,3 +156,11 @@ def test_streaming_ingest(spark, tmp_path):
     ingest.append_edges(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(120)
     g = GraphData(spark, (), (ingest.edge_source(spark, f"file://{tmp_path}/out", "E", {}),))
     assert [r.node for r in neighbors(g, 1).orderBy("position").collect()] == [2, 3]
+
+
+def test_vector_search_without_limit(docs, spark, sf):
+    index = docs.data.vector["vec"]
+    assert [r.id for r in search.search_vector(docs.data, index, [1.0, 0.0, 0.0], min_score=0.1, limit=None).collect()] == [0, 1]
+    assert [r.id for r in search.search_vector(docs.data, index, [1.0, 0.0, 0.0], limit=None, offset=1).collect()] == [1]
+    plan = QUERIES["vec_min_score"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
