@@ -14,10 +14,14 @@ document with a smaller doc_id or further left in the same one.
    each shard is sorted by external induced sorting (``inducedsort``), whose
    queues spill to the shared folder; repeats are the windows that share 100
    bytes with a neighbour and aren't the first.
-4. The windows found are joined to their documents and cut out.
+4. A minimizer whose different segments hold more than ``SHARD`` bytes is split:
+   each of their windows goes by its own content hash, which equal windows share,
+   and copies other than the first are repeats. So no group has to fit in memory.
+5. The windows found are joined to their documents and cut out.
 
-Copies of a segment are told by 128 hash bits (minimizer and content), as is
-usual for content addressing; windows are compared byte by byte.
+Copies of a segment, and windows of a split minimizer, are told by 128 hash bits
+(minimizer and content), as is usual for content addressing; other windows are
+compared byte by byte.
 
 Defined results: null texts count as empty; a text below 100 bytes stays whole.
 Rows with equal or null doc_ids are ordered by doc_id (nulls first), then by
@@ -126,7 +130,7 @@ def _firsts(h, c, key, start):
 
 ROW = "kind int, h long, c long, key long, place long"  # place: start << 20 | windows
 NAMES = ["kind", "h", "c", "key", "place"]
-FOUND, SEGMENT = 1, 0
+FOUND, SEGMENT, SPLIT = 1, 0, 2
 
 
 def _batch(kind: int, h, c, key, place) -> pa.RecordBatch:
@@ -146,7 +150,7 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, place) of the runs of repeated windows; ``docs`` comes from ``keyed``."""
-    spark = docs.sparkSession
+    spark, shard = docs.sparkSession, SHARD
     root = new_folder(spark, "suffixes")
 
     def scan(batches):
@@ -170,42 +174,100 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield _batch(FOUND, _stir((key[~new] ^ place[~new]).view(np.uint64)).view(np.int64), c[~new], key[~new], place[~new])
 
     def settle(batches):
-        """Of whole minimizer groups: copies are found, different segments go on."""
-        held = None
+        """Of minimizer groups, ordered by (h, c, key, place): copies are found, different segments go on.
+
+        Firsts are held until they are more than a shard; from then on the group is split.
+        """
+        before = last = None
+        held, size, split = [], 0, False
+
+        def close():
+            if not split and sum(len(x[0]) for x in held) > 1:
+                yield _batch(SEGMENT, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
         for batch in batches:
             part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             known, part = part[0] == FOUND, part[1:]
             if known.any():
                 yield _batch(FOUND, *(x[known] for x in part))
                 part = [x[~known] for x in part]
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            h, c = part[:2]
+            if not len(h):
+                continue
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            new[0] = before != (h[0], c[0])
+            before = (h[-1], c[-1])
+            if not new.all():
+                yield _batch(FOUND, *(x[~new] for x in part))
+            part = [x[new] for x in part]
             h = part[0]
-            cut = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0
-            held = [x[cut:] for x in part]
-            yield from _settled(*(x[:cut] for x in part))
-        if held is not None:
-            yield from _settled(*held)
-
-    def _settled(h, c, key, place):
-        if not len(h):
-            return
-        lone = np.ones(len(h), bool)
-        lone[1:] &= h[1:] != h[:-1]
-        lone[:-1] &= h[1:] != h[:-1]
-        h, c, key, place = (x[~lone] for x in (h, c, key, place))
-        if not len(h):
-            return
-        order, new = _firsts(h, c, key, place)
-        h, c, key, place = h[order], c[order], key[order], place[order]
-        if not new.all():
-            yield _batch(FOUND, h[~new], c[~new], key[~new], place[~new])
-        h, c, key, place = h[new], c[new], key[new], place[new]
-        several = np.zeros(len(h), bool)
-        several[1:] |= h[1:] == h[:-1]
-        several[:-1] |= h[1:] == h[:-1]
-        if several.any():
-            yield _batch(SEGMENT, h[several], c[several], key[several], place[several])
+            if not len(h):
+                continue
+            edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            stops = np.append(edges[1:], len(h))
+            if h[0] != last:
+                yield from close()
+                held, size, split = [], 0, False
+            bytes_ = (part[3] & ((1 << 20) - 1)) + window - 1
+            # Groups that lie inside the batch and fit go on at once.
+            whole = np.zeros(len(h), bool)
+            if len(edges) > 2:
+                sizes = np.add.reduceat(bytes_, edges)
+                inner = (stops - edges > 1) & (sizes <= shard)
+                inner[[0, -1]] = False
+                whole = np.repeat(inner, stops - edges)
+                if whole.any():
+                    yield _batch(SEGMENT, *(x[whole] for x in part))
+            for i in range(len(edges)):
+                lo, hi = edges[i], stops[i]
+                if 0 < i < len(edges) - 1 and (whole[lo] or hi - lo == 1):
+                    continue
+                if i and h[lo] != last:
+                    yield from close()
+                    held, size, split = [], 0, False
+                last = h[lo]
+                held.append([x[lo:hi] for x in part])
+                size += int(bytes_[lo:hi].sum())
+                split = split or size > shard
+                if split:
+                    for x in held:
+                        yield _batch(SPLIT, *x)
+                    held = []
+        yield from close()
+
+    def split_windows(batches):
+        """(SEGMENT, h, c, key, place) of the single windows of segments; c is the window's content."""
+        for batch in batches:
+            h, key, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            data, at = utf8(batch.column(3).cast(pa.binary()).view(pa.string()))
+            for a in range(0, len(h), 5_000):
+                b = min(len(h), a + 5_000)
+                cells = data[at[a] : at[b]]
+                n = len(cells)
+                with np.errstate(over="ignore"):
+                    up, down = _tables(n)
+                    total = np.zeros(n + 1, np.uint64)
+                    np.cumsum((cells.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+                    count = place[a:b] & ((1 << 20) - 1)
+                    owner = np.repeat(np.arange(b - a), count)
+                    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                    start = at[a:b][owner] - at[a] + inside
+                    c = _stir((total[start + window] - total[start]) * down[start]).view(np.int64)
+                yield _batch(SEGMENT, h[a:b][owner], c, key[a:b][owner], ((place[a:b] >> 20)[owner] + inside) << 20 | 1)
+
+    def later_windows(batches):
+        """Of windows ordered by (h, c, key, place), all but the first of each (h, c)."""
+        before = None
+        for batch in batches:
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+            h, c = part[:2]
+            if len(h):
+                again = np.zeros(len(h), bool)
+                again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+                again[0] = before == (h[0], c[0])
+                before = (h[-1], c[-1])
+                yield _batch(FOUND, *(x[again] for x in part))
 
     def cut_out(batches):
         for batch in batches:
@@ -232,7 +294,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                if h[a] != last and size >= SHARD:
+                if h[a] != last and size >= shard:
                     yield from _sorted(held, folder)
                     held, size = [], 0
                 last = h[a]
@@ -271,10 +333,17 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     n = shuffle_width(spark)
     segments_ = docs.select("key", "text").mapInArrow(scan, ROW)
-    settled = materialize(segments_.repartition(n, "h").sortWithinPartitions("h").mapInArrow(settle, ROW), "settled")
-    wanted = settled.where(f"kind = {SEGMENT}").groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
-    cells = docs.select("key", "text").join(wanted, "key").select("key", "text", "wanted").mapInArrow(cut_out, "h long, key long, place long, cell binary")
-    borders = cells.repartition(n, "h").sortWithinPartitions("h").mapInArrow(sort_shards, ROW)
+    settled = materialize(segments_.repartition(n, "h").sortWithinPartitions("h", "c", "key", "place").mapInArrow(settle, ROW), "settled")
+
+    def bytes_of(kind):
+        wanted = settled.where(f"kind = {kind}").groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
+        cells = docs.select("key", "text").join(wanted, "key").select("key", "text", "wanted")
+        return cells.mapInArrow(cut_out, "h long, key long, place long, cell binary")
+
+    borders = bytes_of(SEGMENT).repartition(n, "h").sortWithinPartitions("h").mapInArrow(sort_shards, ROW)
+    if not settled.where(f"kind = {SPLIT}").isEmpty():
+        singles = bytes_of(SPLIT).mapInArrow(split_windows, ROW).repartition(n, "h", "c")
+        borders = borders.unionAll(singles.sortWithinPartitions("h", "c", "key", "place").mapInArrow(later_windows, ROW))
     return settled.where(f"kind = {FOUND}").unionAll(borders).select("key", "place")
 
 

@@ -68,3 +68,23 @@ def test_spilled_queues_give_the_same(tmp_path):
     spilled = np.sort(inducedsort.repeated_windows(data, at, rank, 100, str(tmp_path / "q"), 2000))
     assert np.array_equal(plain, spilled) and len(plain)
     assert not list((tmp_path / "q").iterdir())
+
+
+def test_group_beyond_a_shard(spark, monkeypatch):
+    """A phrase in many contexts is one minimizer's group, larger than a shard."""
+    random.seed(9)
+    limit = 4000
+    plain = inducedsort.repeated_windows
+
+    def bounded(data, *more):
+        assert len(data) <= 2 * limit, f"a shard of {len(data)} bytes"
+        return plain(data, *more)
+
+    monkeypatch.setattr(suffixdedup, "SHARD", limit)
+    monkeypatch.setattr(suffixdedup, "repeated_windows", bounded)
+    phrase = "".join(random.choice("abcdefgh") for _ in range(90))
+    noise = lambda n: "".join(random.choice("klmnopqrst ") for _ in range(n))
+    rows = [(i, noise(60) + phrase + random.choice(["", "x" * 7]) + noise(60)) for i in range(150)]
+    rows += [(200 + i, rows[3 * i][1][random.randint(0, 40) :] + noise(30)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(suffixdedup.remove_repeats(df)) == brute(rows)
