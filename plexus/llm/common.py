@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; set only where the session names none."""
+    """The folder shared by driver and executors; set only where the session names none, and then for a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plexus-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -43,6 +45,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a unique long key ``name`` that follows the documents' order.
+
+    The key is doc_id, or, where that is null or repeats, a row's place by doc_id
+    (nulls first), the text's hash and the row's place in the table. Many rows of
+    one id, or of no id, are dealt over partitions like any other; the second form
+    is a written table.
+    """
+    if not df.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return df.withColumn(name, F.col("doc_id").cast("long"))
+    # The ids of range-sorted partitions rise with the order, which is all that a key must do.
+    placed = df.withColumns({"__text": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    order = ["doc_id", "__text", "__row"]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__text", "__row")
+    return materialize(ordered.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hash of ``key``: the same rule at any size.
 
@@ -70,15 +98,17 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_file(path: str, parts, attempt: str) -> None:
-    """Write byte blocks to ``path`` so that a retried task leaves one whole file."""
+def write_file(path: str, data: bytes) -> None:
+    """Write a small file, from the driver."""
     system, name = filesystem(path)
     system.create_dir(os.path.dirname(name), recursive=True)
-    draft = f"{name}.{attempt}"
-    with system.open_output_stream(draft) as out:
-        for part in parts:
-            out.write(part)
-    system.move(draft, name)
+    with system.open_output_stream(name) as out:
+        out.write(data)
+
+
+def each(column: pa.Array):
+    """Python values one at a time, so that a batch's texts are never all Python strings at once."""
+    return (x.as_py() for x in column)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +131,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long) that isn't its component's smallest.
 
     Alternating large-star and small-star rounds: each is a minimum by node,
-    pre-aggregated before its shuffle, and an equi-join that adaptive execution
-    can split where a hub is large. A round's edges are a written table, so the
-    plan does not grow and a lost executor costs one round at most.
+    pre-aggregated before its shuffle and written, and an equi-join of written
+    tables, which adaptive execution can split where a hub is large. So the plan
+    does not grow and a lost executor costs a step of a round at most.
     """
     star = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     star = materialize(star, "edges")
     before = None
     for _ in range(max_rounds):
+        # Minima are written tables: a join of two plain tables can be split where a hub is large.
         both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        star = materialize(small, "edges")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        after = materialize(small, "edges")
+        discard(star, low, large, least)
+        star = after
         now = star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
