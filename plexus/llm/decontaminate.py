@@ -1,29 +1,37 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 A document holds a benchmark item if some region of it is within the item's edit
-budget, RATE of its length, of the item; both are lower-cased with white space
-collapsed. Each edit destroys at most Q of the item's q-grams, so a region within
-e edits of an item of length L shares at least L + 1 - Q (e + 1) of them, all on
-diagonals within e of each other.
+budget of the item; both are lower-cased with white space collapsed. Each edit
+destroys at most Q of the item's q-grams, so a region within e edits of an item of
+length L shares at least L + 1 - Q (e + 1) of them, all on diagonals within e of
+each other. The budget is RATE of the length, or less where that bound would not
+be positive; items of any length go the same way.
 
 1. Positions of a text whose q-gram is any item's are found by a hash bitmap; a
    window that can't hold enough of them for the items of a length class is out.
    Random prose ends here.
 2. In what is left, shared q-grams are counted by item and by overlapping
-   diagonal bands of width 2 e + 1, and a band below the item's bound is out.
+   diagonal bands of width 2 (e + 1), and a band below the item's bound is out.
+   Places of a q-gram in an item count by cells of e + 1 places, so a q-gram that
+   fills an item, as in a run of one character, costs a few cells and not a place
+   each; a text's q-grams are counted in blocks of bounded size. Counts can only
+   come out too high, so no region is lost.
 3. A banded alignment of the item against the region verifies the distance.
 
 Items travel in blocks of at most BLOCK_CHARS characters, a stated query set
 against all documents; each block is a pass with a table of bounded size, and a
 usual benchmark is one block. Nothing is sampled, and whole texts are read.
 
-Defined results: null, empty and blank items match nothing; an item shorter than
-MIN_EXACT characters is matched as it stands; null texts hold nothing; repeated
-rows are reported each; equal items are each reported.
+Defined results: null, empty and blank items match nothing; an item below Q
+characters, which has no q-gram, is matched as it stands between word bounds;
+null texts hold nothing; repeated rows are reported or dropped each by itself,
+whatever their ids; equal items are each reported.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -31,12 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each
+
 Q = 8
-RATE = 0.06
-MIN_EXACT = 40
+RATE = 0.1
 BLOCK_CHARS = 4_000_000
 CLASS = 1.15
 BITMAP_BITS = 22
+#: Cells of shared q-grams that are counted at a time.
+CELLS = 1 << 20
+#: Characters of a text that one alignment looks at, beside the overlap that an item needs.
+REGION = 1 << 14
 
 
 def normal(text: str) -> str:
@@ -47,6 +60,11 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def budget(length: int) -> int:
+    """Edits allowed for an item: RATE of its length, as far as the q-gram bound stays positive."""
+    return max(0, min(int(RATE * length), length // Q - 1))
+
+
 def grams(c: np.ndarray) -> np.ndarray:
     """32-bit hash of every Q-gram, Q being 8."""
     with np.errstate(over="ignore"):
@@ -91,47 +109,108 @@ def distance(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int,
     return (int(min(row[stop], budget + 1)), int(origin[stop]), stop)
 
 
+def regions(low: np.ndarray, high: np.ndarray, length: int, overlap: int):
+    """Pieces (a, b) that cover the intervals within [0, length): overlapping ones as one, long ones cut with an overlap."""
+    order = np.argsort(low, kind="stable")
+    low, high = np.maximum(low[order], 0), np.maximum.accumulate(np.minimum(high[order], length))
+    heads = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+    for a, b in zip(low[heads].tolist(), high[np.append(heads[1:], len(low)) - 1].tolist(), strict=True):
+        yield a, min(b, a + REGION + overlap)
+        while a + REGION + overlap < b:
+            a += REGION
+            yield a, min(b, a + REGION + overlap)
+
+
+def place(item: np.ndarray, text: np.ndarray, a: int, b: int, budget: int) -> tuple[int, int, int]:
+    """``distance`` in a piece of a text, with places of the whole text."""
+    edits, start, stop = distance(item, text[a:b], budget)
+    return edits, a + start, a + stop
+
+
 class ItemBlock:
     """Tables of a block of items, built once by each worker."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.exact: list[tuple[int, str]] = []
+        self.exact: list[tuple[int, re.Pattern]] = []
         self.items: list[tuple[int, str, np.ndarray, int, int]] = []  # id, text, codes, budget, bound
         for key, text in items:
-            if len(text) < MIN_EXACT:
-                self.exact.append((key, text))
+            if len(text) < Q:
+                self.exact.append((key, re.compile(rf"(?<!\w){re.escape(text)}(?!\w)")))
                 continue
-            budget = int(RATE * len(text))
-            self.items.append((key, text, codes(text), budget, len(text) + 1 - Q * (budget + 1)))
-        hashes, item, place = [], [], []
-        for i, (_, _, c, _, _) in enumerate(self.items):
+            allowed = budget(len(text))
+            self.items.append((key, text, codes(text), allowed, len(text) + 1 - Q * (allowed + 1)))
+        self.half = np.array([x[3] + 1 for x in self.items], np.int64)
+        self.bounds = np.array([x[4] for x in self.items], np.int64)
+        hashes, item, cell = [], [], []
+        for i, (_, _, c, allowed, _) in enumerate(self.items):
             g = grams(c)
-            hashes.append(g)
-            item.append(np.full(len(g), i))
-            place.append(np.arange(len(g)))
+            # One entry for each cell of budget + 1 places that holds the q-gram.
+            met = np.unique(g.astype(np.uint64) << np.uint64(32) | (np.arange(len(g)) // (allowed + 1)).astype(np.uint64))
+            hashes.append((met >> np.uint64(32)).astype(np.uint32))
+            item.append(np.full(len(met), i))
+            cell.append((met & np.uint64(0xFFFFFFFF)).astype(np.int64))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
         self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.cell = np.concatenate(cell)[order] if cell else np.zeros(0, np.int64)
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[self.hashes >> np.uint32(32 - BITMAP_BITS)] = True
         # Length classes: widest window and lowest bound of the items in each.
         classes: dict[int, list] = defaultdict(list)
-        for _, text, _, budget, bound in self.items:
-            classes[int(np.log(len(text)) / np.log(CLASS))].append((len(text) + budget - Q + 1, bound))
+        for _, text, _, allowed, bound in self.items:
+            classes[int(np.log(len(text)) / np.log(CLASS))].append((len(text) + allowed - Q + 1, bound))
         self.classes = [(max(w for w, _ in v), min(b for _, b in v)) for v in classes.values()]
 
+    def bands(self, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item << 40 | 2 * band + shift, shared q-grams) of the bands that the text places ``at`` meet.
+
+        A place w and a cell c of item places lie on the diagonals (w - (c + 1) h, w - c h],
+        h = budget + 1, so on at most two bands of width 2 h of either shift.
+        """
+        first, last = (np.searchsorted(self.hashes, g[at], side) for side in ("left", "right"))
+        count = last - first
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        total = np.cumsum(count)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CELLS, "right")))
+            n = count[a:b]
+            entry = np.repeat(first[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, where = self.item[entry], np.repeat(at[a:b], n)
+            half = self.half[item]
+            top = where - self.cell[entry] * half
+            low = top - half + 1
+            cells = []
+            for shift in (0, 1):
+                one, two = ((x + shift * half) // (2 * half) for x in (low, top))
+                own = item << 40
+                # A place counts once for a band.
+                marks = np.concatenate([own | (2 * (one + (1 << 30)) + shift), (own | (2 * (two + (1 << 30)) + shift))[two != one]])
+                places = np.concatenate([where, where[two != one]])
+                order = np.lexsort((places, marks))
+                marks, places = marks[order], places[order]
+                new = np.ones(len(marks), bool)
+                new[1:] = (marks[1:] != marks[:-1]) | (places[1:] != places[:-1])
+                cells.append(np.unique(marks[new], return_counts=True))
+            kept += cells
+            a = b
+        if not kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(kept) == 2:
+            marks, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            return marks, n
+        marks, where = np.unique(np.concatenate([m for m, _ in kept]), return_inverse=True)
+        return marks, np.bincount(where, np.concatenate([n for _, n in kept])).astype(np.int64)
+
     def search(self, text: str):
         """(item, edits, start, stop) of every item that the text holds, at its best place."""
         for key, item in self.exact:
-            if (at := text.find(item)) >= 0:
-                yield key, 0, at, at + len(item)
-        if len(text) < MIN_EXACT * (1 - RATE) or not self.items:
+            if hit := item.search(text):
+                yield key, 0, hit.start(), hit.end()
+        if len(text) < Q or not self.items:
             return
         c = codes(text)
-        if len(c) < Q:
-            return
         g = grams(c)
         shared = self.bitmap[g >> np.uint32(32 - BITMAP_BITS)]
         total = np.zeros(len(g) + 1, np.int32)
@@ -147,87 +226,97 @@ class ItemBlock:
                 np.add.at(near, at + width, -1)
         if near is None:
             return
-        at = np.flatnonzero(shared & (np.cumsum(near[:-1]) > 0))
-        first, last = (np.searchsorted(self.hashes, g[at], side) for side in ("left", "right"))
-        count = last - first
-        if not count.sum():
-            return
-        where = np.repeat(at, count)
-        entry = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, diagonal = self.item[entry], where - self.place[entry]
-        budgets = np.array([x[3] for x in self.items])
-        bounds = np.array([x[4] for x in self.items])
-        half = budgets[item] + 1
-        best: dict[int, tuple] = {}
-        for shift in (0, 1):  # bands of twice the width, half overlapping: any span of e + 1 diagonals lies in one
-            band = (diagonal + shift * half) // (2 * half)
-            cell = item.astype(np.int64) << 40 | (band + (1 << 30))
-            cells, n = np.unique(cell, return_counts=True)
-            ids = cells >> 40
-            for x in cells[n >= bounds[ids]]:
-                i = int(x >> 40)
-                key, text_i, c_i, budget, _ = self.items[i]
-                low = int((int(x & ((1 << 40) - 1)) - (1 << 30)) * 2 * (budget + 1) - shift * (budget + 1))
-                a, b = max(0, low - budget), min(len(c), low + 2 * (budget + 1) + len(c_i) + budget)
-                if (exact := text.find(text_i, a, b)) >= 0:
-                    got = (0, exact, exact + len(text_i))
-                else:
-                    edits, start, stop = distance(c_i, c[a:b], budget)
-                    got = (edits, a + start, a + stop)
-                if got[0] <= budget and (i not in best or got < best[i]):
-                    best[i] = got
-        for i, (edits, start, stop) in sorted(best.items()):
-            yield self.items[i][0], edits, start, stop
+        marks, n = self.bands(g, np.flatnonzero(shared & (np.cumsum(near[:-1]) > 0)))
+        marks = marks[n >= self.bounds[marks >> 40]]
+        for i in np.unique(marks >> 40).tolist():
+            key, text_i, c_i, allowed, _ = self.items[i]
+            if (exact := text.find(text_i)) >= 0:
+                yield key, 0, exact, exact + len(text_i)
+                continue
+            mine = marks[marks >> 40 == i]
+            band, shift = ((mine & ((1 << 40) - 1)) >> 1) - (1 << 30), mine & 1
+            low = (2 * band - shift) * (allowed + 1)
+            high = low + 2 * (allowed + 1) + len(c_i) + allowed
+            best = min(place(c_i, c, a, b, allowed) for a, b in regions(low - allowed, high, len(c), len(c_i) + allowed))
+            if best[0] <= allowed:
+                yield key, *best
 
 
 _blocks: dict[str, ItemBlock] = {}
 
 
+def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS):
+    """Blocks of (item_id, normalised text), cut by running size, so that one at a time is on the driver."""
+    block, size = [], 0
+    known = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    for row in known.orderBy("item_id", "text").toLocalIterator():
+        text = normal(row.text)
+        if not text:
+            continue
+        if block and size + len(text) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((row.item_id, text))
+        size += len(text)
+    if block:
+        yield block
+
+
+def _tables(name: str, table) -> ItemBlock:
+    """The worker's tables of the block ``name``."""
+    if name not in _blocks:
+        _blocks.clear()
+        _blocks[name] = ItemBlock(table.value)
+    return _blocks[name]
+
+
 def find_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, start, stop): every item that a document holds.
 
     start and stop are places in the normalised text.
     """
     spark = docs.sparkSession
-    known = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, edits int, start int, stop int"
-    # Blocks are cut by running size, so that one block at a time is on the driver.
-    out, block, size = None, [], 0
-    import uuid
 
     def searched(block):
-        name = uuid.uuid4().hex
-        table = spark.sparkContext.broadcast(block)
+        name, table = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
 
         def run(batches):
-            if name not in _blocks:
-                _blocks.clear()
-                _blocks[name] = ItemBlock(table.value)
-            tables = _blocks[name]
+            tables = _tables(name, table)
             for batch in batches:
-                rows = [(key, *hit) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in tables.search(normal(text))]
+                rows = [(key, *hit) for key, text in zip(each(batch.column(0)), each(batch.column(1)), strict=True) if text for hit in tables.search(normal(text))]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "edits", "start", "stop"])
 
         return slim.mapInArrow(run, schema)
 
-    for row in known.orderBy("item_id", "text").toLocalIterator():
-        text = normal(row.text)
-        if not text:
-            continue
-        if block and size + len(text) > block_chars:
-            out = searched(block) if out is None else out.unionAll(searched(block))
-            block, size = [], 0
-        block.append((row.item_id, text))
-        size += len(text)
-    if block:
+    out = None
+    for block in blocks(items, block_chars):
         out = searched(block) if out is None else out.unionAll(searched(block))
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    leaks = find_items(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", "__leak")
-    return docs.join(leaks, F.col("doc_id").cast("long") == F.col("__leak"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Each row is judged by its own text in one pass a block, without a join, so
+    null and repeated ids make no difference.
+    """
+    spark, at = docs.sparkSession, docs.columns.index("text")
+
+    def passed(rows, block):
+        name, table = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            tables = _tables(name, table)
+            for batch in batches:
+                held = [bool(text) and next(iter(tables.search(normal(text))), None) is not None for text in each(batch.column(at))]
+                yield batch.filter(pa.array([not h for h in held], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in blocks(items, block_chars):
+        docs = passed(docs, block)
+    return docs
