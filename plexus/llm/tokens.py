@@ -4,25 +4,30 @@ A tokenizer whose pre-tokenizer never crosses white space encodes a text as the
 concatenation of its white-space-separated words. Workers keep the ids of words
 they have met; a word met for the first time is cut into pre-tokens, whose ids
 are kept as well. Whatever is outside the alphabet for which that equivalence is
-known (see ``PLAIN``) goes to the library as it stands, and so does a whole text
-that holds a special token's string or an ASCII separator control.
+known (see ``PLAIN``) goes to the library as it stands. Special strings and ASCII
+separator controls, which Python but not the tokenizers take for white space, are
+dealt with where they stand, so a long text never goes to the library as a whole
+because of one of them.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-CACHE_WORDS = 300_000
-CACHE_PIECES = 300_000
+#: Entries of a cache's newer half; what has not been met since the last turn goes with the older one.
+CACHE_WORDS = 200_000
 LONGEST = 64
 
 PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-įı-ſ]+")
 ODD = re.compile("[\x1c-\x1f]")
+#: Unicode's white space, which is what the tokenizers cut at.
+BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -50,20 +55,27 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """word -> ids as little-endian unsigned 32-bit integers."""
+class Cache(dict):
+    """A bounded cache before ``compute``: entries met again stay, the others go after two turns.
 
-    def __init__(self, encoder: WordEncoder):
+    Texts have many words that occur once. Emptying a full cache as a whole would
+    lose the frequent words with them, so a full half becomes the older half.
+    """
+
+    def __init__(self, compute):
         super().__init__()
-        self.encoder = encoder
+        self.compute, self.older = compute, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.word(word)
-        if len(word) <= LONGEST:
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= LONGEST:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -74,32 +86,34 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
-        self.words = _Words(self)
-        self.pieces: dict[str, bytes] = {}
+        self.words = Cache(self.word)
+        self.pieces = Cache(self.piece)
 
     def exact(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def word(self, word: str) -> bytes:
         if len(word) > LONGEST or not PLAIN.fullmatch(word):
             return self.exact(word)
-        out = []
-        for piece in WORD_PIECES.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-                ids = np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-                if len(self.pieces) >= CACHE_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        word = word.lower()
+        # Letters, with or without one mark at the end, are what the pattern would cut them into.
+        if word.isalpha():
+            return self.pieces[word]
+        if word[:-1].isalpha() and not word[-1].isalnum():
+            return self.pieces[word[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, WORD_PIECES.findall(word)))
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if ODD.search(text) or any(s in text for s in self.special):
-            return self.exact(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        words = BLANK.split(text) if ODD.search(text) else text.split()
+        # A word with a special string in it has more than plain pieces.
+        if any(s in text for s in self.special):
+            return b"".join(self.exact(w) if any(s in w for s in self.special) else self.words[w] for w in words)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -107,27 +121,28 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-class _Lengths(dict):
-    """Worker cache of token counts of chunks, each behind ``prefix`` in its text."""
+class _Frequent(dict):
+    """Tier one: the broadcast table; what it lacks goes on to tier two.
 
-    def __init__(self, counter: TokenCounter, prefix: str):
-        super().__init__()
-        self.counter, self.prefix = counter, prefix
+    Keys stand without the ``prefix`` that the place in the text gives them.
+    """
+
+    def __init__(self, table: dict[str, int], counter: TokenCounter, prefix: str):
+        cut = len(prefix)
+        super().__init__((k[cut:], n) for k, n in table.items() if k.startswith(prefix) and (cut or k[:1] != " "))
+        self.rest, self.prefix = counter.rest, prefix
 
     def __missing__(self, chunk: str) -> int:
-        n = self.counter.chunk(self.prefix + chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[chunk] = n
-        return n
+        return self.rest[self.prefix + chunk]
 
 
 class TokenCounter:
     """Token counts of whole texts under a byte-level BPE.
 
-    Tier one is ``table``, the broadcast pre-token -> count table; tier two are
-    this worker's caches, filled by the library.
+    A text is cut where white space begins. Tier one, looked up first, is
+    ``table``, the broadcast pre-token -> count table; what it lacks goes to tier
+    two, this worker's cache, which is filled by cutting a chunk into pre-tokens
+    and encoding those that tier one lacks.
     """
 
     #: The published pre-token pattern of byte-level BPE.
@@ -137,25 +152,23 @@ class TokenCounter:
     def __init__(self, path: str, table: dict[str, int]):
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.alphabet = byte_alphabet()
         self.table = table
-        self.chunks, self.spaced = _Lengths(self, ""), _Lengths(self, " ")
-        self.rest: dict[str, int] = {}
+        self.rest = Cache(self.chunk)
+        self.first, self.spaced = _Frequent(table, self, ""), _Frequent(table, self, " ")
 
     def exact(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> int:
-        n = self.table.get(piece) or self.rest.get(piece)
-        if n is None:
-            if len(piece) > LONGEST:
-                return self.exact(piece)
-            n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet)))
-            if len(self.rest) >= CACHE_PIECES:
-                self.rest.clear()
-            self.rest[piece] = n
-        return n
+        n = self.table.get(piece)
+        if n is not None:
+            return n
+        if len(piece) > LONGEST:
+            return self.exact(piece)
+        return len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet)))
 
     def chunk(self, chunk: str) -> int:
         body = chunk[1:] if chunk[:1] == " " else chunk
@@ -164,12 +177,20 @@ class TokenCounter:
         return sum(map(self.piece, self.PIECES.findall(chunk)))
 
     def count(self, text: str) -> int:
+        if self.special is not None and self.special.search(text):
+            # The library cuts at special strings first; each is one token.
+            parts = self.special.split(text)
+            return len(parts) - 1 + sum(map(self._plain, parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> int:
         if not text:
             return 0
-        if any(s in text for s in self.special) or ODD.search(text):
+        if ODD.search(text):
             return self.exact(text)
         if "  " in text or text[-1].isspace():
-            return sum(map(self.chunks.__getitem__, self.CHUNKS.findall(text)))
+            chunks = self.CHUNKS.findall(text)
+            return sum(self.spaced[c[1:]] if c[0] == " " and len(c) > 1 and not c[1].isspace() else self.rest[c] for c in chunks)
         # One space before a word belongs to the word, so the spaces are the cuts.
         first, *rest = text.split(" ")
-        return (self.chunks[first] if first else 0) + sum(map(self.spaced.__getitem__, rest))
+        return (self.first[first] if first else 0) + sum(map(self.spaced.__getitem__, rest))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -23,11 +24,40 @@ def test_cached_encoder_equals_library(texts):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_two_tier_counts_equal_library(texts):
+def test_two_tier_counts_equal_library(spark, texts):
     path = tokens.public_path("byte_bpe_50k.json")
-    counter = tokens.TokenCounter(path, tokencount.frequent_lengths(path))
-    for t in texts:
-        assert counter.count(t) == len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    frequent = tokencount.frequent(spark.createDataFrame([(t,) for t in texts], "text string"))
+    table = tokencount.frequent_lengths(frequent, path)
+    for known in (table, {}):
+        counter = tokens.TokenCounter(path, known)
+        for t in texts:
+            assert counter.count(t) == len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    assert max(table.values()) > 1
+
+
+def test_first_tier_answers_most(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = tokens.public_path("byte_bpe_50k.json")
+    table = tokencount.frequent_lengths(tokencount.frequent(docs), path)
+    assert len(table) <= tokencount.FREQUENT and sum(n > 1 for n in table.values()) > 100
+    pieces = [p for r in docs.collect() for p in tokens.TokenCounter.PIECES.findall(r.text or "")]
+    met = Counter(pieces)
+    assert sum(n for p, n in met.items() if p in table) > 0.8 * len(pieces)
+    assert all(p in table for p, _ in met.most_common(300))
+
+
+def test_long_texts(spark):
+    """Texts of some megabytes, with special strings and separator controls in them."""
+    words = ["word", "Größe", "x" * 70, "it's", "日本", "<|endoftext|>", "a\x1cb", "12,5"]
+    random.seed(8)
+    long = " ".join(random.choice(words) for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, "z" * 200_000), (3, long[:1000])], "doc_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    byte = tokens.library(tokens.public_path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs).collect()} == {k: len(byte.encode(t, add_special_tokens=False).ids) for k, t in rows}
+    ids = slow_ids(rows, 2)
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenfile.write_tokens(docs).read(spark).collect()} == {k: (len(x), crc(x)) for k, x in ids.items()}
+    check_packing(packing.pack(docs).collect(), slow_ids(rows, 1), 2048)
 
 
 def test_count_query(spark, odd_docs, no_docs):
@@ -58,12 +88,14 @@ def test_token_files_round_trip(spark, sf, odd_docs, no_docs):
         files = tokenfile.write_tokens(docs)
         assert {r.doc_id: tuple(r)[1:] for r in files.read(spark).collect()} == expected
         dictionary = files.dictionary()
-        shard = files.bases[0][0]
-        reader = tokenfile.ShardReader(f"{files.folder}/shard-{shard:06d}.tok", dictionary)
+        file = f"{files.folder}/{files.shards[0][0]}"
+        reader = tokenfile.ShardReader(file, dictionary)
         last = len(reader.keys) - 1
         assert reader.ids(last).tolist() == ids[int(reader.keys[last])]
         with pytest.raises(ValueError):
-            tokenfile.ShardReader(f"{files.folder}/shard-{shard:06d}.tok", dictionary + b"x")
+            tokenfile.ShardReader(file, dictionary + b"x")
+        again = tokenfile.TokenFiles.open(files.folder)
+        assert again.shards == files.shards and again.read(spark).count() == len(ids)
     assert tokenfile.write_tokens(no_docs).read(spark).count() == 0
 
 
