@@ -1,18 +1,22 @@
 """Sequence packing: shortest pack first over the length histogram.
 
 1. Every document is tokenized once and cut into pieces of at most ``capacity``
-   ids. Each task numbers its pieces of a length as it meets them; the pieces
-   are a written table.
+   ids, which are a written table, a few numbers a piece.
 2. The histogram of piece lengths has at most ``capacity`` rows, whatever the
    corpus. The driver places lengths longest first, always into the shortest
    pack that has room, updating counts of packing patterns rather than packs; a
    length adds at most two patterns, so there are at most 2 * capacity.
-3. Pieces are joined back to patterns by rank: a piece's rank in its length is
-   its task's offset plus its number there, and the rank falls into the interval
-   that a slot of a pattern holds for that length.
+3. Pieces are joined back to patterns by rank. They are range-partitioned by
+   length, so a piece's rank in its length is its number in its partition plus
+   the length's pieces in the partitions before; that takes a row for each length
+   and each partition border, not for each pair of both. The rank falls into the
+   interval that a slot of a pattern holds for that length.
+
+Pieces of one length, which may be a third of all, are told apart by the number
+that the cutting task gave them, so their range is split like any other.
 
 Defined results: null and empty texts are one piece with the end id; repeated
-rows are packed each; null doc_ids stay null.
+rows are packed each; null doc_ids stay null; an empty table has no sequence.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, each, materialize
 from .tokens import public_path, word_encoder
 
 CAPACITY = 2048
@@ -98,36 +102,41 @@ def slots(patterns: list, capacity: int = CAPACITY) -> dict[int, tuple[np.ndarra
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """One row a piece, with the task that cut it and its number among that task's pieces of its length."""
+    """One row a piece; ``tie`` is a number of its own, from the task and its place in that."""
     path = public_path(tokenizer)
 
     def run(batches):
         encoder, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
-        part, met = TaskContext.get().partitionId(), defaultdict(int)
+        tie = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in zip(each(batch.column(0)), each(batch.column(1)), strict=True):
                 ids = (encoder.encode(text) if text else b"") + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
-                    rows.append((key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, part, met[length]))
-                    met[length] += 1
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "number"])
+                    rows.append((key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, tie))
+                    tie += 1
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "tie"])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, number long"
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tie long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
     cut = materialize(pieces(docs, tokenizer, end_id, capacity), "pieces")
-    counts = materialize(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(slots(shortest_pack_first(histogram, capacity), capacity))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ordered = cut.repartitionByRange("length", "tie").sortWithinPartitions("length").select(*columns, F.monotonically_increasing_id().alias("at"))
+    ordered = materialize(ordered, "ordered").withColumn("part", F.shiftright("at", 33))
+    discard(cut)
+    # At most capacity + partitions rows.
+    counts = ordered.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    shifts = counts.select("length", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
 
     def place(batches):
         for batch in batches:
@@ -142,5 +151,5 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
             kept = [batch.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = cut.join(offsets, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("number")).alias("rank"))
+    ranked = ordered.join(shifts, ["length", "part"]).select(*columns, (F.col("at") + F.col("shift")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
