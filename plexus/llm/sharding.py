@@ -8,17 +8,20 @@ its bytes, so any number of shards comes out near equal.
 A median is found by narrowing: the driver holds one interval of positions for
 each open node, a pass counts bytes in BINS bins of it, and the bin with the
 median becomes the next interval, until it holds less than FINE of a shard. What a pass sends
-is at most (shards x BINS) sums. Positions of equal value are told apart by a
-hash of the document in the low bits, so a value that holds a third of all rows
-splits like any other. All levels run on a table of a few numbers a document;
-texts are never moved.
+is at most (shards x BINS) sums. Under a position's value come, in its low bits,
+a hash of the text, then one of the doc_id, then one of the row's number. So
+equal texts with equal metadata lie together and go to one shard, except where
+the law needs a cut inside them; and a value, a text or a wholly repeated row
+that holds a third of all rows splits like any other. All levels run on a table
+of a few numbers a document; texts are never moved.
 
 Slots are gapless: rows are range-partitioned by (shard, doc_id), so a slot is a
 row's number in its partition plus the rows before it in the shard, which come
 from one small table of counts.
 
 Defined results: null texts have size 1 and the checksum of the empty text; null
-metadata sorts first; repeated rows are placed each.
+and missing metadata count as empty; null doc_ids have the first slots; repeated
+rows are placed each; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 BINS = 2048
 #: A bin below this share of a shard's bytes is not looked into further.
@@ -38,6 +41,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
     unit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("long")
+    low = lambda c, bits, at: F.shiftleft(F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("long"), at)
     column = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -46,15 +50,16 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.least(F.lit((1 << 20) - 1), (F.log2(size.cast("double")) * (1 << 15))).cast("long").alias("d0"),
         unit(F.coalesce(column("lang"), F.lit(""))).alias("d1"),
         unit(F.coalesce(column("source"), F.lit(""))).alias("d2"),
-        F.shiftright(F.xxhash64("doc_id", text), 32).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long").alias("tie"),
+        (low(text, 18, 24) + low("doc_id", 14, 10) + low(F.monotonically_increasing_id(), 10, 0)).alias("tie"),
     )
 
 
 DIMENSIONS = ("d0", "d1", "d2")
+TIE_BITS = 42
 
 
 def _position(dimension) -> F.Column:
-    return F.shiftleft(dimension, 32).bitwiseOR(F.col("tie"))
+    return F.shiftleft(dimension, TIE_BITS).bitwiseOR(F.col("tie"))
 
 
 def _by_node(values: dict[int, int], kind: str = "long") -> F.Column:
@@ -63,7 +68,7 @@ def _by_node(values: dict[int, int], kind: str = "long") -> F.Column:
 
 
 def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """metadata columns and shard: int, near equal in bytes."""
+    """doc_id, size, text_crc32, tie and shard: int, near equal in bytes."""
     rows = materialize(metadata(docs), "metadata")
     # node -> how many shards it becomes, and the first of them
     open_ = {1: (shards, 0)}
@@ -82,7 +87,7 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         for k, (n, _) in open_.items():
             r = spans.get(k)
             axis[k] = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) if r else 0)
-            interval[k] = (r[f"lo_{axis[k]}"] << 32, (r[f"hi_{axis[k]}"] + 1) << 32) if r else (0, 1)
+            interval[k] = (r[f"lo_{axis[k]}"] << TIE_BITS, (r[f"hi_{axis[k]}"] + 1) << TIE_BITS) if r else (0, 1)
             goal[k] = (r.bytes if r else 0) * (n // 2) / n
             fine[k] = (r.bytes if r else 0) / n * FINE
         numbers = {d: i for i, d in enumerate(DIMENSIONS)}
@@ -119,19 +124,20 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         # Rows of the open nodes go down one level; their node is written for the next pass.
         rest = rows.withColumn("node", node).where(~F.col("node").isin(list(open_))) if done else None
         lower = placed.select(*[c for c in rows.columns if c != "node"], step_up.alias("node"))
-        rows = materialize(lower if rest is None else lower.unionByName(rest.select(lower.columns)), "nodes")
+        above, rows = rows, materialize(lower if rest is None else lower.unionByName(rest.select(lower.columns)), "nodes")
+        discard(above)
         node = F.col("node")
         for k, (n, first) in open_.items():
             tree.append((k, axis[k], cut[k]))
             grown[2 * k], grown[2 * k + 1] = (n // 2, first), (n - n // 2, first + n // 2)
         open_ = grown
     out = rows.withColumn("node", node) if "node" not in rows.columns else rows
-    return out.withColumn("shard", _by_node(done, "int")).drop("node", *DIMENSIONS, "tie")
+    return out.withColumn("shard", _by_node(done, "int")).drop("node", *DIMENSIONS)
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """Add slot: a row's gapless number from 0 in its shard, by doc_id."""
-    order = ["shard", "doc_id", "text_crc32"]
+    order = ["shard", "doc_id", "text_crc32", "tie"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     sorted_ = materialize(sorted_, "sorted").withColumn("part", F.shiftright("at", 33))
     counts = sorted_.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
