@@ -7,7 +7,8 @@ broadcast as one array of fixed size (1 MB); a text's score is the logistic of a
 sparse dot product.
 
 Training reads labelled rows only, TRAIN_ROWS at most: those with the smallest
-hash of their doc_id, which is the same choice at any size. It runs in one task.
+hash of their doc_id, which is the same choice at any size; of rows that share a
+doc_id, the one with the smallest hash of its text. It runs in one task.
 
 Defined results: a text without words (null and empty ones too) has the score of
 the bias alone; labels that are null are ignored, of repeated labels of a
@@ -91,6 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exclude_held
     chosen = bounded_sample(known, "doc_id", rows)
     # The chosen rows are bound by ``rows``, so this side may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # A repeated doc_id gives one row: partial minima keep a row an id and task, so no id gathers its rows.
+    texts = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality"), F.xxhash64("text")).alias("one")).select("doc_id", "one.text", "one.quality")
 
     def encode(batches):
         for batch in batches:

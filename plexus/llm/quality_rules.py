@@ -11,7 +11,8 @@ neighbours are confirmed word by word, and the union of their places is
 measured. The work is n log n in a text's words.
 
 Defined results: null and empty texts have no words and fail the base rules;
-rows are judged one by one, so repeated rows give equal results.
+rows are judged one by one, so repeated rows give equal results, and null and
+repeated ids stay as they are; an empty table gives no row, in ablations neither.
 """
 
 from __future__ import annotations
@@ -98,10 +99,11 @@ def policy_mask(policy: str | tuple, rules: dict[str, str] | None = None) -> int
 
 
 def apply_policy(rows: DataFrame, policy: str | tuple = "v1", base: tuple = BASE) -> DataFrame:
-    """Ledger rows with base_failed and kept under a policy version."""
+    """Ledger rows with base_failed, kept and the policy that decided it: a version's name, or its rules."""
     failed = (F.col("ledger").bitwiseAND(F.lit(policy_mask(base)).cast("long"))) != 0
     refused = (F.col("ledger").bitwiseAND(F.lit(policy_mask(policy)).cast("long"))) != 0
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~refused)
+    name = policy if isinstance(policy, str) else "+".join(policy)
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~refused, "policy": F.lit(name)})
 
 
 def ablations(rows: DataFrame, policy: str | tuple = "v1", rules: dict[str, str] | None = None) -> DataFrame:

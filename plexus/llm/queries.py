@@ -26,8 +26,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     done = chat.format_chat(turns.unionByName(extra))
     back = done.select("conv_id", "formatted", "loss_mask", chat.parse_chat(F.col("formatted")).alias("turns"))
     loss = chat.loss_text(F.col("formatted"), F.col("loss_mask"))
@@ -44,7 +44,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ledger")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ledger", "policy")
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op 5's policy refuses, refuses alone, and what would be kept without it."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +85,13 @@ QUERIES = {
         op8_token_counts,
         op9_packing,
         op10_kd_sharding,
+        quality_rule_ablations,
     )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-ORACLE_SQL = {
-    "op5_quality_rules": rf"""
+_LEDGER = rf"""
 with w as (
   select doc_id, coalesce(text, '') as text, {_WORDS} as ws from documents
 ), m as (
@@ -118,6 +123,13 @@ with w as (
     + case when word_chars > 20 * n_words then 32 else 0 end as bigint) as ledger
   from f
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (ledger & 3) <> 0 as base_failed, ledger = 0 as kept, ledger from l
-""",
+"""
+
+ORACLE_SQL = {
+    "op5_quality_rules": _LEDGER
+    + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (ledger & 3) <> 0 as base_failed, ledger = 0 as kept, ledger, 'v1' as policy from l",
+    "quality_rule_ablations": _LEDGER
+    + "select rule, count(*) filter (ledger & bit <> 0) as failed, count(*) filter (ledger = bit) as failed_alone, count(*) filter (ledger = 0 or ledger = bit) as kept_without from l, (values "
+    + ", ".join(f"('{rule}', {1 << k})" for k, rule in enumerate(quality_rules.RULES))
+    + ") r(rule, bit) group by rule",
 }
