@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import each
 
 Q = 8
-RATE = 0.1
+RATE = 0.06
 BLOCK_CHARS = 4_000_000
 CLASS = 1.15
 BITMAP_BITS = 22
@@ -185,21 +185,25 @@ class ItemBlock:
             for shift in (0, 1):
                 one, two = ((x + shift * half) // (2 * half) for x in (low, top))
                 own = item << 40
-                # A place counts once for a band.
                 marks = np.concatenate([own | (2 * (one + (1 << 30)) + shift), (own | (2 * (two + (1 << 30)) + shift))[two != one]])
                 places = np.concatenate([where, where[two != one]])
+                if b - a == len(at):
+                    # Nothing comes from other blocks, so what is below the bound is out before places are counted.
+                    found, which, n_all = np.unique(marks, return_inverse=True, return_counts=True)
+                    enough = (n_all >= self.bounds[found >> 40])[which]
+                    marks, places = marks[enough], places[enough]
+                # A place counts once for a band.
                 order = np.lexsort((places, marks))
                 marks, places = marks[order], places[order]
                 new = np.ones(len(marks), bool)
+                if not len(marks):
+                    continue
                 new[1:] = (marks[1:] != marks[:-1]) | (places[1:] != places[:-1])
                 cells.append(np.unique(marks[new], return_counts=True))
             kept += cells
             a = b
         if not kept:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(kept) == 2:
-            marks, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-            return marks, n
         marks, where = np.unique(np.concatenate([m for m, _ in kept]), return_inverse=True)
         return marks, np.bincount(where, np.concatenate([n for _, n in kept])).astype(np.int64)
 
@@ -222,8 +226,8 @@ class ItemBlock:
             if full.any():
                 near = np.zeros(len(g) + 1, np.int32) if near is None else near
                 at = np.flatnonzero(full)
-                np.add.at(near, at, 1)
-                np.add.at(near, at + width, -1)
+                near[at] += 1
+                near[at + width] -= 1
         if near is None:
             return
         marks, n = self.bands(g, np.flatnonzero(shared & (np.cumsum(near[:-1]) > 0)))
