@@ -7,6 +7,7 @@ use where results are large.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -187,9 +188,13 @@ class Snapshot:
     def vector_indexes(self) -> list[dict[str, Any]]:
         return [self.data.vector[k] for k in sorted(self.data.vector)]
 
+    def _tokens(self, index_name: str) -> DataFrame | None:
+        """The current word table of an index, if there is one."""
+        return None
+
     def search_text(self, index_name: str, query: str, mode: str = "all", labels=None, edge_type=None, properties=None, limit: int = 20, offset: int = 0) -> list[dict[str, Any]]:
         index = mutate.index_of(self.data, "fulltext", index_name)
-        found = search.search_text(self.data, index, query, mode, labels, edge_type, properties, limit, offset)
+        found = search.search_text(self.data, index, query, mode, labels, edge_type, properties, limit, offset, self._tokens(index_name))
         return [{"kind": index["target"], **r.asDict()} for r in found.collect()]
 
     def get_vector(self, index_name: str, entity_id: int) -> list[float]:
@@ -244,15 +249,19 @@ class Graph(Snapshot):
         super().__init__(data)
         self.pending = 0
         self.log: list[str] = []
+        self.tokens: dict[str, tuple[int, DataFrame]] = {}
 
     @classmethod
     def open(cls, path: str, spark: SparkSession | None = None) -> Graph:
         return cls(path, spark)
 
-    def _publish(self, data: GraphData, changed: set[str], operation: str) -> None:
-        """Make ``data`` current: through the store if there is one, in memory otherwise."""
+    def _publish(self, data: GraphData, changed: set[str], operation: str, appended: dict[str, DataFrame] | None = None) -> None:
+        """Make ``data`` current: through the store if there is one, in memory otherwise.
+
+        A store writes the tables ``changed`` as a whole and the rows ``appended`` to others.
+        """
         if self.store:
-            self.data = self.store.save(data.with_(version=self.data.version), changed, operation)
+            self.data = self.store.save(data.with_(version=self.data.version), changed, operation, appended)
             return
         self.data = data.with_(version=self.data.version + 1)
         self.log.append(operation)
@@ -288,9 +297,14 @@ class Graph(Snapshot):
 
     # Mutations
 
+    def _add(self, data: GraphData, table: str, ids: list[int], operation: str) -> None:
+        """Publish new nodes or edges, whose ids are all above those so far."""
+        new = getattr(data, table)[0].df
+        self._publish(data, set(), operation, {table: new.where(F.col("id") >= ids[0]) if ids else new.limit(0)})
+
     def add_nodes(self, records: list[dict[str, Any]]) -> list[int]:
         data, ids = mutate.add_nodes(self.data, records)
-        self._publish(data, {"nodes"}, "add_nodes")
+        self._add(data, "nodes", ids, "add_nodes")
         return ids
 
     def add_node(self, external_id: str | None = None, labels: list[str] | None = None, properties: dict[str, Any] | None = None) -> int:
@@ -298,7 +312,7 @@ class Graph(Snapshot):
 
     def add_edges(self, records: list[dict[str, Any]]) -> list[int]:
         data, ids = mutate.add_edges(self.data, records)
-        self._publish(data, {"edges"}, "add_edges")
+        self._add(data, "edges", ids, "add_edges")
         return ids
 
     def add_edge(self, source: int, target: int, edge_type: str, properties: dict[str, Any] | None = None) -> int:
@@ -323,7 +337,7 @@ class Graph(Snapshot):
         if not s.is_write:
             return super().cypher(text, parameters, profile)
         data, answer = _write(self.data, s, parameters or {}, profile)
-        self._publish(data, set(TABLES), "cypher")
+        self._publish(data, changed_tables(self.data, data), "cypher")
         return answer
 
     # Indexes
@@ -335,9 +349,20 @@ class Graph(Snapshot):
         self._publish(mutate.drop_index(self.data, "fulltext", name), set(), "drop_fulltext_index")
 
     def rebuild_fulltext_index(self, name: str | None = None) -> None:
-        """Search reads the properties themselves, so there is nothing to rebuild but the name to check."""
-        if name is not None:
-            mutate.index_of(self.data, "fulltext", name)
+        """Write the word tables of one index or all, which serve searches until the graph changes.
+
+        A search without a current table reads the properties themselves, with equal results.
+        """
+        names = [name] if name is not None else sorted(self.data.fulltext)
+        for n in names:
+            index = mutate.index_of(self.data, "fulltext", n)
+            if index["tokenizer"] == "unicode61":
+                path = f"{traversal.shared_dir(self.spark)}/tokens-{uuid.uuid4().hex}"
+                self.tokens[n] = self.data.version, search.token_table(self.data, index, path)
+
+    def _tokens(self, index_name: str) -> DataFrame | None:
+        version, table = self.tokens.get(index_name, (None, None))
+        return table if version == self.data.version else None
 
     def create_vector_index(self, name: str, dimensions: int, target: str = "node", metric: str = "cosine", model: str | None = None, model_version: str | None = None) -> None:
         self._publish(mutate.create_vector_index(self.data, name, dimensions, target, metric, model, model_version), set(), "create_vector_index")
@@ -359,17 +384,23 @@ class Graph(Snapshot):
 
     # Import
 
+    def _import(self, table: str, rows: DataFrame, operation: str) -> list[int]:
+        add = mutate.add_node_rows if table == "nodes" else mutate.add_edge_rows
+        data, ids = add(self.data, rows)
+        self._add(data, table, ids, operation)
+        return ids
+
     def import_nodes_csv(self, path: str) -> list[int]:
-        return self.add_nodes(files.read_nodes_csv(self.spark, path))
+        return self._import("nodes", files.node_rows_csv(self.spark, path), "import_nodes_csv")
 
     def import_edges_csv(self, path: str) -> list[int]:
-        return self.add_edges(files.resolve_ends(self.data, files.read_edges_csv(self.spark, path)))
+        return self._import("edges", files.edge_rows_csv(self.spark, path), "import_edges_csv")
 
     def import_nodes_jsonl(self, path: str) -> list[int]:
-        return self.add_nodes(files.read_jsonl(self.spark, path))
+        return self._import("nodes", files.node_rows_jsonl(self.spark, path), "import_nodes_jsonl")
 
     def import_edges_jsonl(self, path: str) -> list[int]:
-        return self.add_edges(files.resolve_ends(self.data, files.read_jsonl(self.spark, path)))
+        return self._import("edges", files.edge_rows_jsonl(self.spark, path), "import_edges_jsonl")
 
     # Hybrid retrieval
 
@@ -396,10 +427,13 @@ class Graph(Snapshot):
     def local_propagate(self, seeds: dict[int, float], radius: int = 2, query_nodes: list[int] | None = None, edge_type: str | None = None, edge_property: str = "probability", damping: float = 1.0) -> dict[int, float]:
         return {r.node: r.score for r in traversal.local_propagate(self.data, seeds, radius, query_nodes, edge_type, edge_property, damping).orderBy("node").collect()}
 
-    def _append(self, table: str, counter: str, row: Callable[[int], tuple]) -> int:
-        ident = self.data.counters.get(counter, 0)
-        data = self.data.with_table(table, self.data.table(table).unionByName(self.spark.createDataFrame([row(ident)], TABLES[table])))
-        self._publish(data.with_(counters={**data.counters, counter: ident + 1}), {table}, f"add_{counter}")
+    def _append(self, table: str, counter: str, row: Callable[[int], tuple], more: dict[str, Callable[[int], tuple]] | None = None) -> int:
+        """Publish a row with the next id, and the rows of other tables that belong to it, as one version."""
+        ident, data, new = self.data.counters.get(counter, 0), self.data, {}
+        for name, made in {table: row, **(more or {})}.items():
+            new[name] = self.spark.createDataFrame([made(ident)], TABLES[name])
+            data = data.with_table(name, data.table(name).unionByName(new[name]))
+        self._publish(data.with_(counters={**data.counters, counter: ident + 1}), set(), f"add_{counter}", new)
         return ident
 
     def _props(self, properties: dict[str, Any] | None) -> dict[str, tuple]:
@@ -448,12 +482,9 @@ class Graph(Snapshot):
                 if abs(sum(values[i : i + n]) - 1.0) > 1e-9:
                     raise ValueError("conditional distribution must sum to 1.0")
         inputs, outputs = (variables[1:], variables[:1]) if is_cpd else (variables, [])
-        ident = self.data.counters.get("factor", 0)
-        table = self.spark.createDataFrame([(ident, list(variables), [float(x) for x in values], is_cpd)], TABLES["factor_tables"])
-        self.data = self.data.with_table("factor_tables", self.data.table("factor_tables").unionByName(table))
         name = "cpd" if is_cpd else "table"
-        self._append("factors", "factor", lambda i: (i, list(inputs), list(outputs), name, {}))
-        return ident
+        table = lambda i: (i, list(variables), [float(x) for x in values], is_cpd)
+        return self._append("factors", "factor", lambda i: (i, list(inputs), list(outputs), name, {}), {"factor_tables": table})
 
     def add_factor_table(self, variables: list[int], values: list[float]) -> int:
         return self._factor_table(list(variables), list(values), False)
@@ -488,6 +519,13 @@ class Graph(Snapshot):
         return inference.posterior(self.data, variable_id)
 
 
+def changed_tables(before: GraphData, after: GraphData) -> set[str]:
+    """The tables that are not the same frames in both states."""
+    out = {k for k, v in after.tables.items() if before.tables.get(k) is not v}
+    same = lambda a, b: len(a) == len(b) and all(x.df is y.df for x, y in zip(a, b, strict=True))
+    return out | {k for k in ("nodes", "edges") if not same(getattr(before, k), getattr(after, k))}
+
+
 def _write(data: GraphData, s, params: dict[str, Any], profile: bool) -> tuple[GraphData, dict[str, Any]]:
     out, keys, rows, summary = cypher_write.write(data, s, params)
     answer = {"keys": keys, "records": [dict(zip(keys, r, strict=True)) for r in rows], "summary": summary}
@@ -501,7 +539,7 @@ class Transaction:
 
     def __init__(self, graph: Graph, write: bool):
         self.graph, self.write, self.active = graph, write, True
-        self.base, self.data, self.dirty = graph.data.version, graph.data, False
+        self.base, self.start, self.data, self.dirty = graph.data.version, graph.data, graph.data, False
 
     def _check(self) -> None:
         if not self.active:
@@ -525,7 +563,7 @@ class Transaction:
             return
         if self.graph.data.version != self.base:
             raise StaleGraph("graph changed since transaction started")
-        self.graph._publish(self.data, set(TABLES), "transaction")
+        self.graph._publish(self.data, changed_tables(self.start, self.data), "transaction")
 
     def rollback(self) -> None:
         self._check()

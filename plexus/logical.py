@@ -17,6 +17,7 @@ from .functions.values import strict_predicate
 from .graph import Graph, Snapshot
 from .model import subscript
 from .operators import algorithms
+from .sources.files import guarded
 
 PROPERTY = "_logical_graph_id"
 SNAPSHOT_TTL, LONGEST_TTL = 600.0, 3600.0
@@ -93,12 +94,14 @@ class LogicalGraph:
     def delete(self) -> int:
         """Delete all nodes of the logical graph with their edges; returns how many nodes."""
         from .operators import mutate
+        from .operators.traversal import cut
 
-        ids = [r.id for r in self._ids().collect()]
-        if ids:
-            data, _ = mutate.delete_nodes(self.graph.data, ids, detach=True)
+        gone = cut(self._ids())
+        n = gone.count()
+        if n:
+            data, _ = mutate.delete_nodes(self.graph.data, gone, detach=True)
             self.graph._publish(data, {"nodes", "edges", "vectors"}, "delete_logical_graph")
-        return len(ids)
+        return n
 
 
 class Registry:
@@ -123,6 +126,35 @@ class Registry:
             raise ValueError("only a stored graph can be backed up")
         store.backup(target)
 
+    def restore(self, name: str, source: str, overwrite: bool = False) -> Graph:
+        """Open ``name`` at a backup's state; an existing graph is replaced only where ``overwrite`` says so."""
+        if not self.root:
+            raise ValueError("only a stored graph can be restored")
+        graph = self.open(name)
+        graph.data = graph.store.restore(source, overwrite=overwrite)
+        return graph
+
+    # File import and export, under the registry's own folders only
+
+    def _file(self, kind: str, path: str) -> str:
+        if not self.root:
+            raise ValueError("file import and export need a registry folder")
+        return guarded(self.root, kind, path)
+
+    def import_nodes(self, name: str, path: str, fmt: str = "csv") -> list[int]:
+        file = self._file("imports", path)
+        return self.open(name).import_nodes_csv(file) if fmt == "csv" else self.open(name).import_nodes_jsonl(file)
+
+    def import_edges(self, name: str, path: str, fmt: str = "csv") -> list[int]:
+        file = self._file("imports", path)
+        return self.open(name).import_edges_csv(file) if fmt == "csv" else self.open(name).import_edges_jsonl(file)
+
+    def export_nodes(self, name: str, path: str, nodes: list[int] | None = None) -> None:
+        self.open(name).export_nodes_jsonl(self._file("exports", path), nodes)
+
+    def export_edges(self, name: str, path: str, edges: list[int] | None = None) -> None:
+        self.open(name).export_edges_jsonl(self._file("exports", path), edges)
+
     def snapshot(self, name: str, ttl: float = SNAPSHOT_TTL) -> str:
         if not 0 < ttl <= LONGEST_TTL:
             raise ValueError(f"ttl must be between 0 and {LONGEST_TTL:.0f} seconds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -13,33 +14,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GraphData, Source
-from .traversal import adjacency, bfs, cut, distinct_neighbors, number_within, require_nodes, weighted_edges
+from ..plans.dsl import direction as parse_direction
+from .traversal import FOLD, adjacency, bfs, cut, distinct_neighbors, frontier_neighbors, number_within, require_nodes, shared_dir, weighted_edges
 
 MULTIPLIER, INCREMENT, MASK = 6364136223846793005, 1442695040888963407, (1 << 64) - 1
 
 
-def weighted_neighbors(data: GraphData, direction: str, edge_type: str | None, weight_property: str | None) -> DataFrame:
-    """(node, nbr, dir, edge_id, w, valid): the first edge of each pair decides the weight."""
-    first = distinct_neighbors(adjacency(data, direction, edge_type))
+def weighted_ends(data: GraphData, direction: str, edge_type: str | None, weight_property: str | None) -> DataFrame:
+    """(node, nbr, dir, edge_id, w, valid) of every edge end, with the edge's weight."""
     if weight_property is None:
-        return first.withColumn("w", F.lit(1.0)).withColumn("valid", F.lit(True))
-    w = weighted_edges(data, weight_property, edge_type, 1.0).select(F.col("id").alias("edge_id"), "w", "valid")
-    return first.join(w, "edge_id").select("node", "nbr", "dir", "edge_id", "w", "valid")
+        return adjacency(data, direction, edge_type).withColumns({"w": F.lit(1.0), "valid": F.lit(True)})
+    e = weighted_edges(data, weight_property, edge_type, 1.0)
+    ends = lambda a, b, k: e.select(F.col(a).alias("node"), F.col(b).alias("nbr"), F.lit(k).alias("dir"), F.col("id").alias("edge_id"), "w", "valid")
+    parts = {"out": ends("src", "dst", 0), "in": ends("dst", "src", 1)}
+    way = parse_direction(direction)
+    return parts[way] if way in parts else parts["out"].unionAll(parts["in"])
 
 
-def distances(data: GraphData, start: int, direction: str = "out", edge_type: str | None = None, weight_property: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """((node, dist) of every node that ``start`` reaches, the neighbour table)."""
-    nbrs = cut(weighted_neighbors(data, direction, edge_type, weight_property))
-    best = active = cut(data.spark.createDataFrame([(start, 0.0)], "node long, dist double"))
+def weighted_neighbors(ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, nbr, w, valid) of the neighbours of ``nodes``: the first edge of each pair decides the weight."""
+    mine = ends.join(nodes.select("node").distinct(), "node", "left_semi")
+    first = mine.groupBy("node", "nbr").agg(F.min(F.struct("dir", "edge_id", "w", "valid")).alias("first"))
+    return first.select("node", "nbr", "first.w", "first.valid")
+
+
+def distances(data: GraphData, start: int, direction: str = "out", edge_type: str | None = None, weight_property: str | None = None) -> DataFrame:
+    """(node, dist) of every node that ``start`` reaches.
+
+    Each round reads the edges at the nodes that became nearer and writes those
+    only; the rounds' tables are folded into one every few rounds.
+    """
+    ends = weighted_ends(data, direction, edge_type, weight_property)
+    active = cut(data.spark.createDataFrame([(start, 0.0)], "node long, dist double"))
+    least = lambda df: df.groupBy("node").agg(F.min("dist").alias("dist"))
+    log, rounds = active, 0
     while True:
-        met = active.join(nbrs, "node")
-        if weight_property is not None and met.where("not valid").limit(1).count():
-            raise ValueError(f'edge property "{weight_property}" must be finite and non-negative, or is not a floating-point value')
+        rounds += 1
+        met = active.join(weighted_neighbors(ends, active), "node")
+        if weight_property is not None:
+            met = cut(met)
+            if met.where("not valid").limit(1).count():
+                raise ValueError(f'edge property "{weight_property}" must be finite and non-negative, or is not a floating-point value')
         offers = met.groupBy(F.col("nbr").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
-        active = cut(offers.join(best, "node", "left").where("dist is null or offer < dist").select("node", F.col("offer").alias("dist")))
+        active = cut(offers.join(least(log), "node", "left").where("dist is null or offer < dist").select("node", F.col("offer").alias("dist")))
         if active.isEmpty():
-            return best, nbrs
-        best = cut(best.join(active.select("node"), "node", "left_anti").unionAll(active))
+            return least(log)
+        log = log.unionAll(active)
+        log = cut(least(log)) if rounds % FOLD == 0 else log
 
 
 def shortest_path(data: GraphData, start: int, target: int, direction: str = "out", edge_type: str | None = None, weight_property: str | None = None) -> dict[str, Any] | None:
@@ -51,10 +72,11 @@ def shortest_path(data: GraphData, start: int, target: int, direction: str = "ou
     require_nodes(data, [start, target])
     if start == target:
         return {"nodes": [start], "distance": 0.0}
-    best, nbrs = distances(data, start, direction, edge_type, weight_property)
+    best = cut(distances(data, start, direction, edge_type, weight_property))
     end = best.where(F.col("node") == target).first()
     if end is None:
         return None
+    nbrs = weighted_neighbors(weighted_ends(data, direction, edge_type, weight_property), best)
     tight = nbrs.join(best, "node").join(best.select(F.col("node").alias("nbr"), F.col("dist").alias("far")), "nbr").where(F.col("dist") + F.col("w") == F.col("far"))
     # A predecessor was settled before: nearer, or as near with a smaller id.
     tight = cut(tight.where((F.col("dist") < F.col("far")) | ((F.col("dist") == F.col("far")) & (F.col("node") != F.col("nbr")))).select("node", "nbr", "dist", "far"))
@@ -76,14 +98,17 @@ def component_labels(data: GraphData, edge_type: str | None = None, max_rounds:
     before = None
     for _ in range(max_rounds):
         both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written tables: a join of two plain tables can be split where a hub is large.
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         star = cut(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         now = tuple(star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = data.node_scan().df.select(F.col("id").alias("node"))
     return nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
@@ -92,7 +117,8 @@ def connected_components(data: GraphData, edge_type: str | None = None) -> DataF
     """(component, position, node): members in breadth-first order from the smallest id."""
     labels = cut(component_labels(data, edge_type))
     roots = labels.where("node = component").select(F.col("node").alias("start"))
-    found = bfs(data, roots, "both", edge_type)
+    # Every node is met, so the whole adjacency is needed: once, rather than by steps.
+    found = bfs(data, roots, "both", edge_type, adj=cut(distinct_neighbors(adjacency(data, "both", edge_type))))
     return found.select(F.col("start").alias("component"), "position", "node")
 
 
@@ -102,23 +128,32 @@ def pagerank(data: GraphData, iterations: int = 20, damping: float = 0.85, toler
         raise ValueError("damping must be between 0.0 and 1.0")
     if tolerance is not None and (not math.isfinite(tolerance) or tolerance < 0):
         raise ValueError("tolerance must be finite and non-negative")
+    spark = data.spark
     nodes = data.node_scan().df.select(F.col("id").alias("node"))
     links = data.edge_scan(edge_type).df.select("src", "dst").distinct()
-    links = cut(links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src"))
+    links = links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    # Links are placed by source once; an iteration shuffles ranks and sums, not links.
+    name = f"links_{uuid.uuid4().hex}"
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links.write.bucketBy(width, "src").sortBy("src").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    links = spark.table(name)
     sinks = nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(True))
     ranks = cut(nodes.join(sinks, "node", "left").select("node", F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("rank")))
+    dangling = ranks.where("sink").count() / n
     for _ in range(iterations):
-        dangling = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         base = (1.0 - damping) / n + damping * dangling / n
         given = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         new = ranks.join(given, F.col("node") == F.col("dst"), "left")
         new = cut(new.select("node", "sink", (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"), F.abs(F.lit(base) + damping * F.coalesce("given", F.lit(0.0)) - F.col("rank")).alias("delta")))
         ranks = new.drop("delta")
-        if tolerance is not None and new.agg(F.sum("delta")).first()[0] <= tolerance:
+        # What the next iteration spreads and how far this one moved, from one pass over the written ranks.
+        dangling, moved = new.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.sum("delta")).first()
+        if tolerance is not None and moved <= tolerance:
             break
+    spark.sql(f"DROP TABLE {name}")
     return ranks.select("node", "rank")
 
 
@@ -132,12 +167,11 @@ def _next(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def random_walks(data: GraphData, starts: DataFrame, steps: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:
     """(walk, step, node) of many walks at once; ``starts`` has walk, node and seed.
 
-    A walker carries its generator's state; a step is one join with the degrees
-    and one with the neighbour at the drawn place. Walks end at sinks.
+    A walker carries its generator's state; a step numbers the neighbours of the
+    nodes where walkers are, and is one join with the degrees and one with the
+    neighbour at the drawn place. Walks end at sinks.
     """
-    nbrs = distinct_neighbors(adjacency(data, direction, edge_type))
-    nbrs = cut(number_within(nbrs, "node", ["dir", "edge_id"], "place").select("node", "nbr", "place"))
-    degrees = cut(nbrs.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
+    ends = adjacency(data, direction, edge_type)
 
     def draw(batches):
         for b in batches:
@@ -149,6 +183,8 @@ def random_walks(data: GraphData, starts: DataFrame, steps: int, direction: str
     at = cut(starts.select("walk", "node", F.col("seed").cast("long").alias("state")))
     total = at.select("walk", F.lit(0).alias("step"), "node")
     for k in range(1, steps + 1):
+        nbrs = cut(number_within(frontier_neighbors(ends, at), "node", ["dir", "edge_id", "nbr"], "place").select("node", "nbr", "place"))
+        degrees = nbrs.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         drawn = at.join(degrees, "node").select("walk", "node", "state", "degree").mapInArrow(draw, "walk long, node long, state long, place long")
         at = cut(drawn.join(nbrs, ["node", "place"]).select("walk", F.col("nbr").alias("node"), "state"))
         if at.isEmpty():

@@ -24,6 +24,8 @@ from ..model import GraphData
 from .traversal import ball, check_damping, cut, is_number_text
 
 MAX_NODES, MAX_FACTORS = 10_000, 50_000
+#: What residual propagation, which is one sequence, takes at most; ``flooding`` has no such bound.
+MAX_VARIABLES = 1_000_000
 WARN = {"variables": 1000, "factors": 5000, "graph_nodes": 5000}
 
 
@@ -104,6 +106,11 @@ def _wanted(data: GraphData, ids: list[int]) -> dict[int, Variable]:
     return found
 
 
+def _bounded(df: DataFrame, what: str) -> None:
+    if df.limit(MAX_VARIABLES + 1).count() > MAX_VARIABLES:
+        raise ValueError(f"more than {MAX_VARIABLES} {what}; ask for some variables, or use flooding")
+
+
 def compile_active_subgraph(data: GraphData, query_variables: list[int], evidence: dict[int, str] | None = None, radius: int = 2, max_nodes: int = MAX_NODES, max_factors: int = MAX_FACTORS) -> Active:
     """Variables, factors and nodes that an inference about ``query_variables`` looks at."""
     evidence = evidence or {}
@@ -126,6 +133,7 @@ def compile_active_subgraph(data: GraphData, query_variables: list[int], evidenc
         admit(known[v].owner)
     if not active:
         # Nothing was asked for, so all variables are; their ids and owners come in id order.
+        _bounded(data.table("variables"), "variables")
         for r in data.table("variables").select("id", "owner_id").orderBy("id").toLocalIterator():
             active.add(r.id)
             admit(r.owner_id)
@@ -276,6 +284,7 @@ class Residual:
 def stored_evidence(data: GraphData) -> dict[int, str]:
     rows = data.table("evidence").where("payload['state'].t = 'string'").select("id", "variable_id", F.col("payload")["state"]["s"].alias("state"))
     last = rows.groupBy("variable_id").agg(F.max_by("state", "id").alias("state"))
+    _bounded(last, "variables with evidence")
     return {r.variable_id: r.state for r in last.collect()}
 
 

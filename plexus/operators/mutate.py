@@ -6,12 +6,13 @@ from collections.abc import Iterable
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import check_properties, pv_python, pv_tuple
 from ..model import EDGES, NODES, VECTORS, GraphData, Source
 from .search import METRICS, TOKENIZERS, check_vector
+from .traversal import cut
 
 RECORD_FIELDS = {"node": {"external_id", "labels", "properties"}, "edge": {"source", "target", "edge_type", "properties"}}
 LIST_LIMIT = 500
@@ -92,6 +93,62 @@ def add_edges(data: GraphData, records: list[dict[str, Any]]) -> tuple[GraphData
     return data.with_(edges=(Source(df),), counters={**data.counters, "edge": first + len(rows)}), [r[0] for r in rows]
 
 
+def _numbered(df: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """(``df`` with dense ids from ``first`` in its order, how many): a row's place in its partition plus the rows of those before."""
+    placed = cut(df.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"))
+    # A row a partition.
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = cut(counts.select("__part", "n", (F.coalesce(before, F.lit(0)) - F.col("low") + first).alias("__shift")))
+    n = shifts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return placed.join(shifts.drop("n"), "__part").withColumn("id", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift"), n
+
+
+def _check_props(rows: DataFrame) -> None:
+    bad = rows.select(F.explode("props").alias("key", "value")).where("key = '' or value.t is null").first()
+    if bad is not None and bad.key == "":
+        raise ValueError("property key cannot be empty")
+    if bad is not None:
+        raise TypeError(f'property "{bad.key}" must be a boolean, a 64-bit integer, a number or a string')
+
+
+def add_node_rows(data: GraphData, rows: DataFrame) -> tuple[GraphData, list[int]]:
+    """Append rows (external_id, labels, props) of any number, all or nothing; only their ids' range is on the driver."""
+    data = property_data(data)
+    first = data.counters.get("node", 0)
+    new, n = _numbered(rows, first)
+    new = cut(new.select("id", F.coalesce("external_id", F.concat(F.lit("node:"), F.col("id").cast("string"))).alias("external_id"), "labels", "props"))
+    if new.where(F.exists("labels", lambda x: F.coalesce(x, F.lit("")) == "")).limit(1).count():
+        raise ValueError("label cannot be empty")
+    if new.where("external_id = ''").limit(1).count():
+        raise ValueError("external_id cannot be empty")
+    _check_props(new)
+    taken = new.groupBy("external_id").count().where("count > 1").select("external_id").first()
+    taken = taken or data.nodes[0].df.select("external_id").join(new.select("external_id"), "external_id", "left_semi").first()
+    if taken:
+        raise ValueError(f'external_id "{taken.external_id}" already exists')
+    out = data.with_(nodes=(Source(data.nodes[0].df.unionByName(new)),), counters={**data.counters, "node": first + n})
+    return out, list(range(first, first + n))
+
+
+def add_edge_rows(data: GraphData, rows: DataFrame) -> tuple[GraphData, list[int]]:
+    """Append rows (source, target, edge_type, props), ends as texts, of any number, all or nothing."""
+    from ..sources.files import resolved
+
+    data = property_data(data)
+    first = data.counters.get("edge", 0)
+    new, n = _numbered(rows, first)
+    new = cut(resolved(data, new))
+    if new.where("edge_type is null").limit(1).count():
+        raise ValueError("edge rows require edge_type or type")
+    lost = new.where("src is null or dst is null").select(F.when(F.col("src").isNull(), F.col("source")).otherwise(F.col("target")).alias("name")).first()
+    if lost is not None:
+        raise KeyError(f"node {lost.name} not found")
+    _check_props(new)
+    out = data.with_(edges=(Source(data.edges[0].df.unionByName(new.select("id", "src", "dst", "edge_type", "props"))),), counters={**data.counters, "edge": first + n})
+    return out, list(range(first, first + n))
+
+
 def replace_rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     """``df`` with the rows of the same ids put in place of its own."""
     if not rows:
@@ -169,19 +226,22 @@ def delete_edges(data: GraphData, ids: list[int]) -> GraphData:
     return _prune_vectors(data.with_(edges=(Source(df.join(gone, "id", "left_anti")),)), "edge", gone)
 
 
-def delete_nodes(data: GraphData, ids: list[int], detach: bool = False) -> tuple[GraphData, int]:
-    """(new state, edges deleted with the nodes)."""
+def delete_nodes(data: GraphData, ids: list[int] | DataFrame, detach: bool = False) -> tuple[GraphData, int]:
+    """(new state, edges deleted with the nodes). A frame of ids holds known nodes and stays off the driver."""
     data = property_data(data)
     nodes, edges = data.nodes[0].df, data.edges[0].df
-    require(nodes, ids, "node")
-    owned = _matching(data.table("variables").select(F.col("owner_id").alias("id")), "id", ids).first()
+    if isinstance(ids, DataFrame):
+        gone = ids.select("id")
+    else:
+        require(nodes, ids, "node")
+        gone = data.spark.createDataFrame([(i,) for i in ids], "id long")
+    owned = data.table("variables").select(F.col("owner_id").alias("id")).join(gone, "id", "left_semi").first()
     if owned:
         raise ValueError(f"node {owned.id} owns probabilistic variables")
-    gone = data.spark.createDataFrame([(i,) for i in ids], "id long")
     touching = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")).select("id").distinct()
     n = touching.count()
     if n and not detach:
-        raise ValueError(f"node {ids[0]} still has relationships; use detach deletion")
+        raise ValueError(f"node {gone.first().id} still has relationships; use detach deletion")
     out = _prune_vectors(data, "node", gone)
     out = _prune_vectors(out, "edge", touching) if n else out
     out = out.with_(nodes=(Source(nodes.join(gone, "id", "left_anti")),))

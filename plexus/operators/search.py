@@ -1,15 +1,18 @@
 """Full-text and exact vector search, and their fusion, as expression plans.
 
 Full-text scoring is built-in functions only, so it stays in generated code and
-a label, type or property filter reaches the scan. Vector scores use an unrolled
+a label, type or property filter reaches the scan; a written table of words by
+their beginnings lets a search read the matching rows only. Vector scores use an unrolled
 dot product of literals for one query; a batch of queries runs as one pass over
-the vectors in Arrow batches, with a bounded matrix of queries per pass.
+the vectors in Arrow batches, with a bounded matrix of queries per pass; a frame of
+queries is dealt over tasks that each read the vectors through, block by block.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -19,14 +22,17 @@ from pyspark.sql import functions as F
 
 from ..functions.values import Value, strict_predicate
 from ..model import GraphData, Scan, subscript
+from ..sources.paths import filesystem
 from .traversal import cut, distinct_neighbors, adjacency
 
 MODES = ("all", "any", "phrase", "prefix")
 TOKENIZERS = ("unicode61", "trigram")
 METRICS = ("cosine", "dot", "euclidean")
-WORD = r"([\p{IsAlphabetic}\p{N}_]+)"
+CHAR = r"[\p{IsAlphabetic}\p{N}_]"
+WORD = rf"({CHAR}+)"
 SPACE = r"(?U)\s+"
 QUERY_BLOCK = 1024
+TOKEN_BUCKETS = 64
 
 
 # Text
@@ -38,7 +44,8 @@ def normalize(c: Column) -> Column:
 
 
 def normalize_python(text: str) -> str:
-    return " ".join(re.sub(r"[\x1c-\x1f]", "\0", text.lower()).split()).replace("\0", "\x1c") if re.search(r"[\x1c-\x1f]", text) else " ".join(text.lower().split())
+    """``normalize`` of a query. White space is Unicode's, to which \\x1c to \\x1f don't belong."""
+    return " ".join(x for x in re.split(r"[^\S\x1c-\x1f]+", text.lower()) if x)
 
 
 def word_tokens(text: str) -> list[str]:
@@ -90,26 +97,59 @@ def target_scan(data: GraphData, index: dict, labels, edge_type, properties: dic
     return s, df
 
 
-def _starts(unit: str):
-    return lambda token: F.startswith(token, F.lit(unit))
-
-
 def _unit_hits(v: Value, units: list[str], index: dict, mode: str) -> list[Column]:
-    text = normalize(v.of("string"))
+    """Whether a property holds each unit: as a substring, as a whole word or as a word's beginning.
+
+    A word is a maximal run of word characters, so a unit is one where no such
+    character stands before it and, unless a beginning will do, none after it.
+    """
     if mode == "phrase" or index["tokenizer"] == "trigram":
+        text = normalize(v.of("string"))
         return [F.coalesce(F.contains(text, F.lit(u)), F.lit(False)) for u in units]
-    words = F.regexp_extract_all(text, F.lit(WORD), 1)
-    if mode == "prefix":
-        return [F.coalesce(F.exists(words, _starts(u)), F.lit(False)) for u in units]
-    return [F.coalesce(F.array_contains(words, u), F.lit(False)) for u in units]
+    text = F.lower(v.of("string"))
+    after = "" if mode == "prefix" else f"(?!{CHAR})"
+    return [F.coalesce(F.contains(text, F.lit(u)) & text.rlike(f"(?<!{CHAR}){u}{after}"), F.lit(False)) for u in units]
+
+
+def _shown(v: Value, index: dict, mode: str) -> Column:
+    return normalize(v.of("string")) if mode == "phrase" or index["tokenizer"] == "trigram" else F.lower(v.of("string"))
 
 
-def search_text(data: GraphData, index: dict, query: str, mode: str = "all", labels=None, edge_type=None, properties=None, limit: int | None = 20, offset: int = 0) -> DataFrame:
-    """(id, score, matched_fields) by falling score, then id; limit None returns all matches."""
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _ranked(df: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    out = df.orderBy(F.desc("score"), "id")
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def _score(n_units: Column, units: list[str], n_fields: Column, fields: list[str]) -> Column:
+    return (0.8 * n_units / len(units) + 0.2 * n_fields / len(fields)).cast("double")
+
+
+def search_text(data: GraphData, index: dict, query: str, mode: str = "all", labels=None, edge_type=None, properties=None, limit: int | None = 20, offset: int = 0, tokens: DataFrame | None = None) -> DataFrame:
+    """(id, score, matched_fields) by falling score, then id; limit None returns all matches.
+
+    With ``tokens``, the index's current ``token_table``, words are looked up there and no text is read.
+    """
     units = check_search(index, query, mode, labels, edge_type, 1 if limit is None else limit)
-    s, df = target_scan(data, index, labels, edge_type, properties, index["properties"])
     fields = index["properties"]
+    if tokens is not None and mode != "phrase" and index["tokenizer"] == "unicode61" and len(units) <= 62 and len(fields) <= 62:
+        out = _from_tokens(tokens, units, fields, mode)
+        if labels or edge_type is not None or properties:
+            out = out.join(target_scan(data, index, labels, edge_type, properties)[1].select("id"), "id", "left_semi")
+        return _ranked(out, limit, offset)
+    s, df = target_scan(data, index, labels, edge_type, properties, fields)
     hits = {f: _unit_hits(subscript(s, f), units, index, mode) for f in fields}
+    # A row that lacks a unit as a plain substring of every property is out before any pattern is run.
+    holds = [_any(F.coalesce(F.contains(_shown(subscript(s, f), index, mode), F.lit(u)), F.lit(False)) for f in fields) for u in units]
+    df = df.where(_any(holds) if mode == "any" else _all(holds))
     # One column for each field: which units it has.
     df = df.select("id", *[F.array(*h).alias(f"h{i}") for i, h in enumerate(hits.values())])
     unit = [F.lit(False) for _ in units]
@@ -118,14 +158,46 @@ def search_text(data: GraphData, index: dict, query: str, mode: str = "all", lab
     n_units = sum((u.cast("int") for u in unit[1:]), unit[0].cast("int"))
     met = [F.array_contains(f"h{i}", True) for i in range(len(fields))]
     n_fields = sum((m.cast("int") for m in met[1:]), met[0].cast("int"))
-    score = 0.8 * n_units / len(units) + 0.2 * n_fields / len(fields)
     enough = n_units == len(units) if mode != "any" else n_units > 0
     names = F.array_compact(F.array(*[F.when(m, F.lit(f)) for m, f in zip(met, fields, strict=True)]))
-    out = df.where(enough).select("id", score.cast("double").alias("score"), names.alias("matched_fields"))
-    out = out.orderBy(F.desc("score"), "id")
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
+    return _ranked(df.where(enough).select("id", _score(n_units, units, n_fields, fields).alias("score"), names.alias("matched_fields")), limit, offset)
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(TOKEN_BUCKETS)).cast("int")
+
+
+def token_table(data: GraphData, index: dict, path: str) -> DataFrame:
+    """Write the index's words as (bucket, token, id, field) and read them back; ``field`` is a property's place.
+
+    Files are by bucket of the first two characters and sorted by token, so a
+    lookup, also of a word's beginning, reads few of them. A common word's rows are
+    spread over tasks by their ids.
+    """
+    s, df = target_scan(data, index, None, None, None, index["properties"])
+    parts = []
+    for i, f in enumerate(index["properties"]):
+        words = F.array_distinct(F.regexp_extract_all(F.lower(subscript(s, f).of("string")), F.lit(WORD), 1))
+        parts.append(df.select(F.explode(words).alias("token"), "id", F.lit(i).alias("field")))
+    rows = reduce(lambda a, b: a.unionAll(b), parts).withColumn("bucket", _bucket(F.col("token")))
+    rows = rows.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id")
+    rows.write.partitionBy("bucket").parquet(path)
+    return data.spark.read.schema("token string, id long, field int, bucket int").parquet(path)
+
+
+def _from_tokens(tokens: DataFrame, units: list[str], fields: list[str], mode: str) -> DataFrame:
+    """(id, score, matched_fields) of the entities that have the units."""
+    token = F.col("token")
+    # The beginning of one character doesn't tell the bucket.
+    places = F.lit(True) if mode == "prefix" and min(map(len, units)) < 2 else _any(F.col("bucket") == _bucket(F.lit(u)) for u in units)
+    match = (lambda u: F.startswith(token, F.lit(u))) if mode == "prefix" else (lambda u: token == u)
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(match(u), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, u in enumerate(units)])
+    found = tokens.where(places).where(_any(match(u) for u in units)).select("id", bits.alias("units"), F.expr("shiftleft(1L, field)").alias("fields"))
+    found = found.groupBy("id").agg(F.bit_or("units").alias("units"), F.bit_or("fields").alias("fields"))
+    n_units, n_fields = F.bit_count("units"), F.bit_count("fields")
+    enough = n_units == len(units) if mode != "any" else n_units > 0
+    names = F.array_compact(F.array(*[F.when(F.col("fields").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(f)) for i, f in enumerate(fields)]))
+    return found.where(enough).select("id", _score(n_units, units, n_fields, fields).alias("score"), names.alias("matched_fields"))
 
 
 # Vectors
@@ -197,6 +269,40 @@ def search_vector(data: GraphData, index: dict, query: list[float], labels=None,
     return out if limit is None else out.limit(limit)
 
 
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the rows of ``x`` for each row of ``q``, in double precision."""
+    if metric == "euclidean":
+        d = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2 * (q @ x.T)
+        close = d < 1e-6 * (x * x).sum(1)[None]
+        if close.any():  # cancellation: take these differences directly
+            a, b = np.nonzero(close)
+            d[a, b] = ((q[a] - x[b]) ** 2).sum(1)
+        return 1.0 / (1.0 + np.sqrt(np.maximum(d, 0)))
+    dot = q @ x.T
+    return dot if metric == "dot" else dot / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
+
+
+def _keep_best(held, ids: np.ndarray, scores: np.ndarray, keep: int | None):
+    """(ids, scores) of the best ``keep`` a query among those held and new; ties go to the smaller id."""
+    ids = np.broadcast_to(ids, scores.shape)
+    if held is not None:
+        ids, scores = np.concatenate([held[0], ids], axis=1), np.concatenate([held[1], scores], axis=1)
+    if keep is None or scores.shape[1] <= keep:
+        return ids, scores
+    n = len(scores)
+    out_ids, out_scores = np.empty((n, keep), np.int64), np.empty((n, keep))
+    for i in range(n):
+        edge = np.partition(scores[i], -keep)[-keep]
+        near = np.flatnonzero(scores[i] >= edge)
+        best = near[np.lexsort((ids[i][near], -scores[i][near]))[:keep]]
+        out_ids[i], out_scores[i] = ids[i][best], scores[i][best]
+    return out_ids, out_scores
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
+
+
 def scored(vectors: DataFrame, queries: list[list[float]], metric: str, keep: int | None = None, min_score: float | None = None) -> DataFrame:
     """(query, id, score) of all vectors; with ``keep``, each task sends its best ``keep`` a query.
 
@@ -208,36 +314,8 @@ def scored(vectors: DataFrame, queries: list[list[float]], metric: str, keep: in
         return out.unionAll(rest.withColumn("query", F.col("query") + QUERY_BLOCK))
     q = np.asarray(queries, np.float32).astype(np.float64)
 
-    def score(x: np.ndarray) -> np.ndarray:
-        if metric == "euclidean":
-            d = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2 * (q @ x.T)
-            close = d < 1e-6 * (x * x).sum(1)[None]
-            if close.any():  # cancellation: take these differences directly
-                a, b = np.nonzero(close)
-                d[a, b] = ((q[a] - x[b]) ** 2).sum(1)
-            return 1.0 / (1.0 + np.sqrt(np.maximum(d, 0)))
-        dot = q @ x.T
-        return dot if metric == "dot" else dot / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None])
-
-    def merge(held, ids, scores):
-        if held is not None:
-            ids = np.concatenate([held[0], np.broadcast_to(ids, scores.shape)], axis=1)
-            scores = np.concatenate([held[1], scores], axis=1)
-        else:
-            ids = np.broadcast_to(ids, scores.shape)
-        if keep is None or scores.shape[1] <= keep:
-            return ids, scores
-        out_ids, out_scores = np.empty((len(q), keep), np.int64), np.empty((len(q), keep))
-        for i in range(len(q)):
-            edge = np.partition(scores[i], -keep)[-keep]
-            near = np.flatnonzero(scores[i] >= edge)
-            best = near[np.lexsort((ids[i][near], -scores[i][near]))[:keep]]
-            out_ids[i], out_scores[i] = ids[i][best], scores[i][best]
-        return out_ids, out_scores
-
     def emit(ids, scores):
-        n = scores.shape[1]
-        which = np.repeat(np.arange(len(q)), n)
+        which = np.repeat(np.arange(len(q)), scores.shape[1])
         ids, flat = ids.ravel(), scores.ravel()
         if min_score is not None:
             ok = flat >= min_score
@@ -247,21 +325,67 @@ def scored(vectors: DataFrame, queries: list[list[float]], metric: str, keep: in
     def run(batches):
         held = None
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+            ids, found = b.column(0).to_numpy(zero_copy_only=False), _scores(q, _matrix(b.column(1), b.num_rows), metric)
             if keep is None:
-                yield emit(*merge(None, ids, score(x)))
+                yield emit(*_keep_best(None, ids, found, None))
             else:
-                held = merge(held, ids, score(x))
+                held = _keep_best(held, ids, found, keep)
         if held is not None:
             yield emit(*held)
 
     return vectors.select("id", "vector").mapInArrow(run, "query int, id long, score double")
 
 
+def search_each(data: GraphData, index: dict, queries: DataFrame, labels=None, edge_type=None, properties=None, min_score: float | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """(query, position, id, score) for a frame of queries (query: long, vector: array<float>) of any size.
+
+    The vectors become a written table. A task takes QUERY_BLOCK of its queries at
+    a time and reads the vectors through once for them, keeping the best of each;
+    so queries and results never pass the driver, nothing is broadcast or shuffled
+    but the queries, and memory holds a block of either side.
+    """
+    _check_min(min_score, limit)
+    metric, keep, wide = index["metric"], limit + offset, index["dimensions"]
+    folder = cut(_vectors(data, index, labels, edge_type, properties)).inputFiles()
+    folder = folder[0].rsplit("/", 1)[0] if folder else None
+
+    def run(batches):
+        from pyarrow import dataset
+
+        for b in batches:
+            for a in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(a, QUERY_BLOCK)
+                sizes = part.column(1).value_lengths().to_pylist()
+                if any(n != wide for n in sizes):
+                    raise ValueError(f"query vector dimensions must be {wide}, not {next(n for n in sizes if n != wide)}")
+                keys, q = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), part.num_rows)
+                if not np.isfinite(q).all():
+                    raise ValueError("query vector values must be finite")
+                if metric == "cosine" and not q.any(axis=1).all():
+                    raise ValueError("query vector cannot be zero for cosine")
+                system, path = filesystem(folder)
+                held = None
+                for x in dataset.dataset(path, filesystem=system, format="parquet").to_batches(columns=["id", "vector"], batch_size=8192):
+                    if x.num_rows:
+                        held = _keep_best(held, x.column(0).to_numpy(zero_copy_only=False), _scores(q, _matrix(x.column(1), x.num_rows), metric), keep)
+                if held is None:
+                    continue
+                order = np.lexsort((held[0], -held[1]), axis=1)[:, offset:]
+                ids, found = np.take_along_axis(held[0], order, 1), np.take_along_axis(held[1], order, 1)
+                n = ids.shape[1]
+                ok = np.ones(ids.size, bool) if min_score is None else found.ravel() >= min_score
+                columns = (np.repeat(keys, n), np.tile(np.arange(n, dtype=np.int32), len(keys)), ids.ravel(), found.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], ["query", "position", "id", "score"])
+
+    schema = "query long, position int, id long, score double"
+    if folder is None:
+        return data.spark.createDataFrame([], schema)
+    asked = queries.select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<float>").alias("vector"))
+    return asked.mapInArrow(run, schema)
+
+
 def search_vectors(data: GraphData, index: dict, queries: list[list[float]], labels=None, edge_type=None, properties=None, min_score: float | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """(query, position, id, score) of each query, in one pass over the vectors."""
     _check_min(min_score, limit)
@@ -303,21 +427,21 @@ def retrieve_context(
     the same with half the graph weight, once per candidate and seed.
     """
     spark = data.spark
-    for name, q, index in (("text", text_query, text_index), ("vector", vector_query, vector_index)):
-        if (q is None) != (index is None):
-            raise ValueError(f"{name}_query and {name}_index must be given together")
     if radius < 0:
         raise ValueError("radius must be non-negative")
     if limit <= 0:
         raise ValueError("limit must be greater than zero")
+    for name, q, index in (("text", text_query, text_index), ("vector", vector_query, vector_index)):
+        if (q is None) != (index is None):
+            raise ValueError(f"{name}_query and {name}_index must be provided together")
     empty = spark.createDataFrame([], "kind string, id long, score double, distance int, text_score double, vector_score double")
     many, parts = max(limit * 4, 20), []
     for name, q, index, weight in (("text", text_query, text_index, text_weight), ("vector", vector_query, vector_index, vector_weight)):
         if q is None:
             continue
+        # Filters go to both searches as they are; one of the wrong kind is an error there.
         kind = index["target"]
-        lab, typ = (labels, None) if kind == "node" else (None, edge_type)
-        found = search_text(data, index, q, "all", lab, typ, properties, many) if name == "text" else search_vector(data, index, q, lab, typ, properties, None, many)
+        found = search_text(data, index, q, "all", labels, edge_type, properties, many) if name == "text" else search_vector(data, index, q, labels, edge_type, properties, None, many)
         parts.append(found.select(F.lit(name).alias("source"), F.lit(kind).alias("kind"), "id", "score", F.lit(float(weight)).alias("weight")))
     if not parts:
         return empty

@@ -1,9 +1,10 @@
 """Traversals as iterative DataFrame plans.
 
-All starts of a call go through one loop at once. Each step joins the frontier
-with the adjacency and takes away what was seen; ranks carry the discovery order,
-so results don't depend on partitioning. A step's frontier is a written table in
-the shared checkpoint folder, which keeps plans flat and survives lost executors.
+All starts of a call go through one loop at once. Each step reads the edges at
+its frontier, by a semi-join below everything else, joins them and takes away what
+was seen; ranks carry the discovery order, so results don't depend on partitioning.
+A step's frontier is a written table in the shared checkpoint folder, which keeps
+plans flat and survives lost executors.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ from ..model import GraphData, subscript
 from ..plans.dsl import direction as parse_direction
 
 BALL_CAP = 10_000
+#: Steps after which the tables of the steps so far are written as one.
+FOLD = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share; set only where the session names none, and then for a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plexus-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -55,6 +60,11 @@ def distinct_neighbors(adj: DataFrame) -> DataFrame:
     return first.select("node", "nbr", "first.dir", "first.edge_id")
 
 
+def frontier_neighbors(ends: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The distinct neighbours of the frontier's nodes only; nothing else of the adjacency is shuffled."""
+    return distinct_neighbors(ends.join(frontier.select("node").distinct(), "node", "left_semi"))
+
+
 def require_nodes(data: GraphData, ids: Iterable[int]) -> None:
     wanted = set(ids)
     if wanted:
@@ -66,8 +76,8 @@ def require_nodes(data: GraphData, ids: Iterable[int]) -> None:
 def neighbors(data: GraphData, node_id: int, direction: str = "out", edge_type: str | None = None) -> DataFrame:
     """(position, node): distinct neighbours, out edges first, then by edge id."""
     mine = adjacency(data, direction, edge_type).where(F.col("node") == node_id)
-    w = Window.orderBy("dir", "edge_id", "nbr")
-    return distinct_neighbors(mine).select((F.row_number().over(w) - 1).alias("position"), F.col("nbr").alias("node"))
+    ranked = _dense(distinct_neighbors(mine), ["dir", "edge_id", "nbr"])
+    return ranked.select(F.col("rank").alias("position"), F.col("nbr").alias("node"))
 
 
 def _dense(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,12 +101,13 @@ def levels(data: GraphData, starts: DataFrame, direction: str = "out", edge_type
     ``starts`` has a column ``start``. rank orders the nodes of a start and depth
     as a breadth-first search meets them.
     """
-    nbrs = adj if adj is not None else cut(distinct_neighbors(adjacency(data, direction, edge_type)))
+    ends = adjacency(data, direction, edge_type) if adj is None else None
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")).distinct()
     frontier = seen = cut(frontier)
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
+        nbrs = adj if adj is not None else frontier_neighbors(ends, frontier)
         met = frontier.join(nbrs, "node").select("start", F.col("nbr").alias("node"), F.struct("rank", "dir", "edge_id").alias("via"))
         first = met.groupBy("start", "node").agg(F.min("via").alias("via"))
         new = first.join(seen.select("start", "node"), ["start", "node"], "left_anti")
@@ -105,6 +116,7 @@ def levels(data: GraphData, starts: DataFrame, direction: str = "out", edge_type
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
+        seen = cut(seen) if depth % FOLD == 0 else seen
     return seen
 
 
@@ -119,9 +131,9 @@ def number_within(df: DataFrame, group: str, keys: list[str], name: str) -> Data
     return ranked.join(low, group).withColumn(name, F.col("rank") - F.col("__low")).drop("rank", "__low")
 
 
-def bfs(data: GraphData, starts: DataFrame, direction: str = "out", edge_type: str | None = None, max_depth: int | None = None) -> DataFrame:
+def bfs(data: GraphData, starts: DataFrame, direction: str = "out", edge_type: str | None = None, max_depth: int | None = None, adj: DataFrame | None = None) -> DataFrame:
     """(start, position, node, depth) in discovery order, start included."""
-    found = levels(data, starts, direction, edge_type, max_depth).withColumnRenamed("rank", "order")
+    found = levels(data, starts, direction, edge_type, max_depth, adj).withColumnRenamed("rank", "order")
     return number_within(found, "start", ["depth", "order"], "position").select("start", "position", "node", "depth")
 
 
@@ -138,15 +150,15 @@ def frontier(data: GraphData, starts: list[int], steps: int, direction: str = "o
     distinct = list(dict.fromkeys(starts))
     schema = "node long, rank long"
     level = seen = spark.createDataFrame([(n, i) for i, n in enumerate(distinct)], schema)
-    if steps:
-        nbrs = cut(distinct_neighbors(adjacency(data, direction, edge_type)))
-    for _ in range(steps):
-        met = level.join(nbrs, "node").select(F.col("nbr").alias("node"), F.struct("rank", "dir", "edge_id").alias("via"))
+    ends = adjacency(data, direction, edge_type)
+    for step in range(1, steps + 1):
+        met = level.join(frontier_neighbors(ends, level), "node").select(F.col("nbr").alias("node"), F.struct("rank", "dir", "edge_id").alias("via"))
         new = met.groupBy("node").agg(F.min("via").alias("via")).join(seen.select("node"), "node", "left_anti")
         level = cut(_dense(new.select("node", F.col("via.rank").alias("p"), F.col("via.dir").alias("d"), F.col("via.edge_id").alias("e")), ["p", "d", "e", "node"]).select("node", "rank"))
         if level.isEmpty():
             break
         seen = seen.unionAll(level)
+        seen = cut(seen) if step % FOLD == 0 else seen
     return level.select(F.col("rank").alias("position"), "node")
 
 
@@ -184,10 +196,10 @@ def propagate(data: GraphData, seeds: dict[int, float], steps: int, edge_propert
     Edges without the property carry nothing. ``within`` keeps to a set of nodes.
     """
     check_damping(damping)
-    for v in seeds.values():
-        if not math.isfinite(v):
-            raise ValueError("seed values must be finite")
     require_nodes(data, seeds)
+    for v in seeds.values():
+        if not math.isfinite(v) or v < 0:
+            raise ValueError("seed probabilities must be finite and non-negative")
     edges = weighted_edges(data, edge_property, edge_type, None)
     if edges.where("there and not valid").limit(1).count():
         raise ValueError(f'edge property "{edge_property}" must be finite and non-negative')
@@ -197,12 +209,13 @@ def propagate(data: GraphData, seeds: dict[int, float], steps: int, edge_propert
     edges = cut(edges.select("src", "dst", "w"))
     mass = data.spark.createDataFrame([(int(k), float(v)) for k, v in seeds.items()], "node long, score double")
     total = mass
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         moved = mass.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("w") * damping).alias("score"))
         mass = cut(moved.select(F.col("dst").alias("node"), "score"))
         if mass.isEmpty():
             break
         total = total.unionAll(mass)
+        total = cut(total.groupBy("node").agg(F.sum("score").alias("score"))) if step % FOLD == 0 else total
     return total.groupBy("node").agg(F.sum("score").alias("score"))
 
 

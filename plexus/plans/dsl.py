@@ -29,35 +29,37 @@ def direction(name: str) -> str:
     return DIRECTIONS[name]
 
 
+#: What each field of a pattern or filter takes.
+MEANING = {
+    "node": "name that rows give the node under",
+    "edge": "name that rows give the edge under; may be left out",
+    "id": "this id only",
+    "external_id": "this external id only",
+    "labels": "labels that the node has, all of them",
+    "type": "the edge's type",
+    "direction": "which way the edge runs, seen from the node before it; out if left out",
+    "properties": "values that properties equal, by key",
+    "where": "filters, all of which hold",
+    "property": "key that the filter looks at",
+    "op": "comparison; eq if left out",
+    "value": "what to compare with: a list for in, one scalar for all others",
+}
+
+
 def schema() -> dict[str, Any]:
     """The language's shape, for callers that compile to it."""
+    fields = lambda kind: {"allowed_fields": list(FIELDS[kind])} | {f: MEANING[f] for f in FIELDS[kind]}
     return {
         "name": "path_query_v0",
-        "description": "Structured path-pattern queries: one connected path of nodes and edges in turn.",
+        "description": "A path, given as nodes and edges in turn, to be matched in the graph.",
         "operators": list(OPERATORS),
-        "directions": ["out", "in", "both"],
+        "directions": sorted(set(DIRECTIONS.values()), key=list(DIRECTIONS.values()).index),
         "top_level_fields": list(FIELDS["query"]),
-        "return": "optional list of node or edge aliases",
-        "limit": "optional non-negative integer row limit",
-        "node_pattern": {
-            "allowed_fields": list(FIELDS["node"]),
-            "node": "required alias string",
-            "id": "optional internal node id",
-            "external_id": "optional external node id",
-            "labels": "optional list of required labels",
-            "properties": "optional exact-match property dict",
-            "where": "optional list of property filters",
-        },
-        "edge_pattern": {
-            "allowed_fields": list(FIELDS["edge"]),
-            "edge": "optional alias string",
-            "id": "optional internal edge id",
-            "type": "optional edge type",
-            "direction": "optional direction relative to surrounding nodes",
-            "properties": "optional exact-match property dict",
-            "where": "optional list of property filters",
-        },
-        "where_filter": {"allowed_fields": list(FIELDS["filter"]), "property": "required property key", "op": "optional operator, defaults to eq", "value": "scalar value, or list when op is in"},
+        "return": "names to give back; all if left out",
+        "limit": "how many rows at most, from 0",
+        "node_pattern": fields("node"),
+        "edge_pattern": fields("edge"),
+        "where_filter": fields("filter"),
     }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -111,7 +112,7 @@ select k + {L['Order']} as node, 0.0::double as dist from o union all select nod
 def sp_weighted(spark, d):
     """Distances from one order, each pair's first edge giving the weight."""
     start = table(spark, d, "lineitem").agg(F.min("l_orderkey")).first()[0]
-    best, _ = algorithms.distances(graph(spark, d), start + L["Order"], "out", None, "price")
+    best = algorithms.distances(graph(spark, d), start + L["Order"], "out", None, "price")
     return best.select("node", F.round("dist", 6).alias("dist"))
 
 
@@ -157,9 +158,22 @@ def pagerank_typed(spark, d):
     return algorithms.pagerank(geography(spark, d), iterations=4, damping=0.5, edge_type="IN_NATION").select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+def walk_sql(edges, steps):
+    """Walks with the 64-bit generator written out in 128-bit integers."""
+    top = "18446744073709551616::hugeint"
+    step = f"(state * 6364136223846793005::hugeint + 1442695040888963407::hugeint) % {top}"
+    return f"""with recursive e as ({edges}), a as (select src as node, dst as nbr, 0 as dir, id from e union all select dst, src, 1, id from e),
+f as (select node, nbr, min(dir * 1000000000000000::hugeint + id) as k from a group by node, nbr),
+n as (select node, nbr, row_number() over (partition by node order by k, nbr) - 1 as place from f), g as (select node, count(*)::hugeint as degree from n group by node),
+w(walk, step, node, state) as (select c_custkey, 0, c_custkey + {L['Customer']}, c_custkey::hugeint from customer
+  union all select s.walk, s.step + 1, n.nbr, s.state from (select w.walk, w.step, w.node, {step.replace('state', 'w.state')} as state from w where w.step < {steps}) s join g on g.node = s.node
+  join n on n.node = s.node and n.place = xor(s.state, s.state >> 33) % g.degree)
+select walk, step, node from w"""
+
+
+@query(walk_sql(EDGES_SQL, 3))
 def random_walk(spark, d):
-    """Walks from every customer; SQL can't follow the generator's wrap-around."""
+    """Walks from every customer."""
     starts = table(spark, d, "customer").select(F.col("c_custkey").alias("walk"), (F.col("c_custkey") + L["Customer"]).alias("node"), F.col("c_custkey").alias("seed"))
     return algorithms.random_walks(graph(spark, d), starts, 3, "both")
 
@@ -237,6 +251,22 @@ def ft_any(spark, d):
     return _ft(spark, d, "une src3 heed", "any")
 
 
+def _tokens(spark, d):
+    g = library(spark, d)
+    return search.token_table(g, g.fulltext["docs"], f"{traversal.shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+
+
+@query(ft_sql(["the", "and", "thtion"], "all"))
+def ft_index_all(spark, d):
+    """The same search through the index's written table of words."""
+    return _ft(spark, d, "  The AND\tthtion the", "all", tokens=_tokens(spark, d))
+
+
+@query(ft_sql(["onn", "src1"], "all", kind="prefix"))
+def ft_index_prefix(spark, d):
+    return _ft(spark, d, "onn src1", "prefix", tokens=_tokens(spark, d))
+
+
 @query(ft_sql(["of the"], "all", kind="contains"))
 def ft_phrase(spark, d):
     return _ft(spark, d, "of  the", "phrase")
@@ -309,13 +339,14 @@ def vec_filters(spark, d):
     return _vec(spark, d, "cosine", labels=["Embedding"], properties={"label": 3}, limit=10, offset=2)
 
 
-@query(f"""with q as (select vec_id as query, embedding::double[] as q from embeddings where vec_id < 8), v as (select vec_id + {L['Embedding']} as id, embedding::double[] as v from embeddings),
+@query(f"""with q as (select vec_id as query, embedding::double[] as q from embeddings where vec_id % 20 = 0), v as (select vec_id + {L['Embedding']} as id, embedding::double[] as v from embeddings),
 s as (select query, id, {score_sql('cosine')} as score from q, v), r as (select *, row_number() over (partition by query order by score desc, id) - 1 as position from s)
-select cast(query as int) as query, cast(position as int) as position, id, round(score, 7) as score from r where position < 10""")
+select query, cast(position as int) as position, id, round(score, 7) as score from r where position < 10""")
 def vec_batch(spark, d):
+    """Every vector whose id is divisible by 20 as a query, against all vectors."""
     g = space(spark, d)
-    rows = table(spark, d, "embeddings").where("vec_id < 8").orderBy("vec_id").collect()
-    found = search.search_vectors(g, g.vector["cosine"], [list(r.embedding) for r in rows], limit=10)
+    queries = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = search.search_each(g, g.vector["cosine"], queries, limit=10)
     return found.select("query", "position", "id", F.round("score", 7).alias("score"))
 
 
@@ -401,7 +432,7 @@ def active_subgraph(spark, d):
 FLOOD = "with p as (select s_suppkey as v, 0.1 + 0.8 * s_nationkey / 25.0 as p from supplier)"
 
 
-@query(f"{FLOOD}, j as (select a.v as a, a.p as pa, b.p as pb from p a join p b on b.v = a.v + 1 where a.v % 2 = 0) select a as variable, round(pa * (2 * pb + (1 - pb)) / (pa * (2 * pb + (1 - pb)) + (1 - pa) * (pb + 2 * (1 - pb))), 6) as belief from j")
+@query(f"{FLOOD}, j as (select a.v as a, a.p as pa, b.p as pb from p a join p b on b.v = a.v + 1 where a.v % 2 = 0) select a as variable, round(pa * (2 * pb + (1 - pb)) / (pa * (2 * pb + (1 - pb)) + (1 - pa) * (pb + 2 * (1 - pb))), 6) as belief from j union all select a + 1, round(pb * (2 * pa + (1 - pa)) / (pb * (2 * pa + (1 - pa)) + (1 - pb) * (pa + 2 * (1 - pa))), 6) from j")
 def bp_flooding(spark, d):
     """Pairs of suppliers as two-variable factor graphs, all at once."""
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("variable"), (0.1 + 0.8 * F.col("s_nationkey") / 25.0).alias("p"))
@@ -411,7 +442,8 @@ def bp_flooding(spark, d):
     states = F.explode(F.array(*[F.struct(F.lit(i).alias("sa"), F.lit(j).alias("sb"), F.lit(2.0 if i == j else 1.0).alias("potential")) for i in (0, 1) for j in (0, 1)]))
     pairs = pairs.select("factor", "a", "b", states.alias("s")).select("factor", "a", "b", "s.*")
     out = inference.flooding(priors, pairs, 2)
-    return out.where("state = 1").join(pairs.select(F.col("a").alias("variable")).distinct(), "variable").select("variable", F.round("belief", 6).alias("belief"))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("variable")).distinct()
+    return out.where("state = 1").join(paired, "variable").select("variable", F.round("belief", 6).alias("belief"))
 
 
 @query(f"select c_custkey + {T['IN_NATION']} as id, c_custkey + {L['Customer']} as src from customer where c_nationkey = 3 union all select s_suppkey + {T['SUPPLIER_IN_NATION']}, s_suppkey + {L['Supplier']} from supplier where s_nationkey = 3")

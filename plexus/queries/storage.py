@@ -178,9 +178,141 @@ def export_query_rows(spark, d):
     return spark.read.schema("segment string, n long").json(path)
 
 
-@query()
+# Lifecycles
+
+
+@query("select 'n' || n_nationkey as external_id, cast(case when n_nationkey = 4 then 99 else n_nationkey end as double) as x, cast(n_regionkey as double) as y from nation where n_nationkey > 2")
+def vector_lifecycle(spark, d):
+    """Vectors put in, replaced, taken out by name and with their node, and read back."""
+    g = _world(spark, d)
+    g.create_vector_index("place", 2, metric="euclidean")
+    nations = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    ids = {n.n_nationkey: g.get_node_id(f"n{n.n_nationkey}") for n in nations}
+    g.upsert_vectors("place", {ids[n.n_nationkey]: [n.n_nationkey, n.n_regionkey] for n in nations})
+    g.upsert_vector("place", ids[4], [99.0, next(n.n_regionkey for n in nations if n.n_nationkey == 4)])
+    g.delete_vectors("place", [ids[0], ids[1]])
+    g.delete_node(ids[2], detach=True)
+    assert g.get_vector("place", ids[4])[0] == 99.0
+    v = g.data.table("vectors").select(F.col("entity_id").alias("id"), F.col("vector")[0].cast("double").alias("x"), F.col("vector")[1].cast("double").alias("y"))
+    return g.data.node_scan().df.join(v, "id").select("external_id", "x", "y")
+
+
+@query("select 0::bigint as indexes, count(*) as hits from nation where lower(n_name) like '%united%'")
+def fulltext_lifecycle(spark, d):
+    g = _world(spark, d)
+    g.create_fulltext_index("names", ["name"])
+    g.rebuild_fulltext_index("names")
+    hits = len(g.search_text("names", "united", limit=100))
+    g.drop_fulltext_index("names")
+    return _rows(spark, [(len(g.fulltext_indexes()), hits)], "indexes long, hits long")
+
+
+@query("select case when n_nationkey = 5 then null else n_nationkey end as since, case when n_nationkey = 5 then 'new' end as note from nation")
+def crud_update_edge(spark, d):
+    g = _world(spark, d)
+    g.update_edge(g.edges_with_property("since", 5)[0], set_properties={"note": "new"}, remove_properties=["since"])
+    return g.data.edge_table().select(F.col("props")["since"]["i"].cast("int").alias("since"), F.col("props")["note"]["s"].alias("note"))
+
+
+@query("select 'variable' as kind, cast(n_nationkey as bigint) as id, cast(n_regionkey as double) as value from nation union all select 'factor', n_nationkey, n_regionkey + 1.0 from nation where n_nationkey < 4 union all select 'evidence', 0, 1.0 union all select 'trace', 0, 0.5")
+def factors_reopened(spark, d):
+    """Variables, factor tables, evidence and traces written through the store and opened again."""
+    from ..graph import Graph
+
+    g = Graph(_folder(spark, "store"), spark)
+    nations = table(spark, d, "nation").orderBy("n_nationkey").collect()
+    v = [g.add_variable("binary", prior={"region": n.n_regionkey}) for n in nations]
+    for n in nations[:3]:
+        g.add_factor_table([v[n.n_nationkey]], [n.n_regionkey + 1.0, 1.0])
+    g.add_factor([v[0]], [v[1]], "noisy_or", {"region": nations[3].n_regionkey + 1.0})
+    g.add_evidence(v[0], {"state": "true", "weight": 1.0})
+    g.add_trace({"score": 0.5})
+    h = Graph.open(g.store.path, spark)
+    t = lambda name: h.data.table(name)
+    number = lambda c, k: F.coalesce(F.col(c)[k]["f"], F.col(c)[k]["i"].cast("double"))
+    parts = [
+        t("variables").select(F.lit("variable").alias("kind"), "id", number("prior", "region").alias("value")),
+        t("factor_tables").select(F.lit("factor"), "factor_id", F.col("values")[0]),
+        t("factors").where("function = 'noisy_or'").select(F.lit("factor"), "id", number("parameters", "region")),
+        t("evidence").select(F.lit("evidence"), "variable_id", number("payload", "weight")),
+        t("traces").select(F.lit("trace"), "id", number("payload", "score")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query("select n_name as name, count(*) over () as nations, 0::bigint as late from nation")
+def compact_and_snapshot(spark, d):
+    """A snapshot keeps its state through later writes and a compaction; a second handle sees them after a refresh."""
+    from ..graph import Graph
+
+    path = _folder(spark, "store")
+    g = _world(spark, d, path)
+    other, seen = Graph.open(path, spark), g.snapshot()
+    g.add_node("late", ["Nation"], {"name": "LATE"})
+    g.compact()
+    other.refresh()
+    late = other.node_count() - seen.node_count() - 1
+    nations = seen.data.node_scan(("Nation",), ["name"]).df
+    return nations.select(F.col("p_name.s").alias("name"), F.lit(nations.count()).alias("nations"), F.lit(late).cast("long").alias("late"))
+
+
+@query("select operation, count(*) as n from (values ('add_nodes'), ('add_nodes'), ('add_edges'), ('add_trace')) t(operation) group by 1")
+def operation_log(spark, d):
+    g = _world(spark, d, _folder(spark, "store"))
+    g.add_trace({"n": 1})
+    return _rows(spark, [(o,) for o in g.operations()], "operation string").groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'r' || r_regionkey as external_id, 'Region' as labels, r_name as name from region union all select 'n' || n_nationkey, 'Nation', n_name from nation")
+def backup_restore(spark, d):
+    from ..logical import Registry
+
+    r = Registry(spark, _folder(spark, "graphs"))
+    target = _folder(spark, "backup")
+    _world(spark, d, f"{r.root}/world")
+    r.backup("world", target)
+    r.open("world").add_node("extra")
+    r.restore("world", target, overwrite=True)
+    return _names(r.open("world"))
+
+
+@query("select c_custkey as id, c_nationkey as age, 'c' || (c_custkey % 2) as gender, case when c_custkey + 1 in (select c_custkey from customer) then c_custkey + 1 end as friend from customer")
+def pokec_loader(spark, d):
+    path = _folder(spark, "users")
+    c = table(spark, d, "customer")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    k, age = F.col("c_custkey"), F.col("c_nationkey")
+    users = c.select(text("CREATE (:User {id: ", k, ", completion_percentage: 10, gender: \"c", k % 2, "\", age: ", age, "});").alias("value"))
+    edges = c.select(text("MATCH (n:User {id: ", k, "}), (m:User {id: ", k + 1, "}) CREATE (n)-[e: Friend]->(m);").alias("value"))
+    users.unionAll(edges).write.text(path)
+    people, friends = files.pokec(spark, path)
+    met = friends.select(F.col("source_id").alias("id"), F.col("target_id").alias("friend"))
+    return people.join(met, "id", "left").select("id", F.col("age").cast("int").alias("age"), "gender", "friend")
+
+
+@query("select 'Q' || n_nationkey as qid, n_name as label, 2::bigint as aliases, 1::bigint as claims from nation")
+def wikidata_loader(spark, d):
+    """Entities whose records come in two lines each, merged."""
+    path = _folder(spark, "entities")
+    n = table(spark, d, "nation")
+    line = lambda alias, label: F.to_json(F.struct(F.concat(F.lit("Q"), "n_nationkey").alias("qid"), label.alias("label"), F.array(F.lit(alias), F.lit("both")).alias("aliases"), F.array(F.struct(F.lit("P1").alias("property"), F.concat(F.lit("R"), "n_regionkey").alias("target"))).alias("claims")))
+    n.select(line("both", F.col("n_name")).alias("value")).unionAll(n.select(line("x", F.lit(None).cast("string")).alias("value"))).write.text(path)
+    found = files.wikidata(spark, path)
+    return found.select("qid", "label", F.size("aliases").cast("long").alias("aliases"), F.size("claims").cast("long").alias("claims"))
+
+
+# White space as the chunker sees it, without the separators \x1c to \x1f, which are no white space there.
+_BLANK = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(rf"""with c as (select doc_id as key, trim(regexp_replace(coalesce(text, ''), '{_BLANK}', ' ', 'g')) as t from documents),
+s as (select key, string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) as s from c where t <> ''),
+p as (select key, string_split(list_reduce(s, lambda acc, x: case when length(regexp_extract(acc, '[^\x01]*$')) + 1 + length(x) <= 900 then acc || ' ' || x else acc || chr(1) || x end), chr(1)) as p from s)
+select key, cast(unnest(range(len(p))) as int) as chunk, unnest(p) as text from p""")
 def text_chunks(spark, d):
-    """Greedy sentence packing is checked against brute force in the tests."""
     return files.chunks(table(spark, d, "documents"), "doc_id", "text")
 
 

@@ -7,11 +7,10 @@ import re
 from pathlib import PurePosixPath
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import SQL_TYPES
-from ..model import GraphData
+from ..model import PROPS, GraphData
 
 
 def guarded(root: str, kind: str, path: str) -> str:
@@ -24,82 +23,107 @@ def guarded(root: str, kind: str, path: str) -> str:
     return f"{root.rstrip('/')}/{kind}/{p}"
 
 
-def scalar(text: str) -> Any:
-    """A CSV cell: a JSON scalar if it is one, else the text."""
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return text
-    return value if isinstance(value, (bool, int, float, str)) else text
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-    return df
+# Import: files become rows of the property tables without passing the driver
 
+def _pv(v: str) -> str:
+    """SQL of a variant as a tagged value; null unless it is a boolean, a 64-bit integer, a number or a string."""
+    t = f"schema_of_variant({v})"
+    is_int, is_float = f"{t} = 'BIGINT'", f"({t} = 'DOUBLE' OR {t} LIKE 'DECIMAL%' AND NOT {t} RLIKE '^DECIMAL\\\\((19|[23][0-9]),0')"
+    kind = f"CASE WHEN {t} = 'BOOLEAN' THEN 'bool' WHEN {is_int} THEN 'int' WHEN {is_float} THEN 'float' WHEN {t} = 'STRING' THEN 'string' END"
+    part = lambda test, sql: f"CASE WHEN {test} THEN try_variant_get({v}, '$', '{sql}') END"
+    is_bool, is_text = f"{t} = 'BOOLEAN'", f"{t} = 'STRING'"
+    return f"named_struct('t', {kind}, 'b', {part(is_bool, 'boolean')}, 'i', {part(is_int, 'bigint')}, 'f', {part(is_float, 'double')}, 's', {part(is_text, 'string')})"
 
-def _properties(row: dict[str, str | None], known: set[str]) -> dict[str, Any]:
-    out = dict(json.loads(row["properties"])) if row.get("properties") else {}
-    for k, v in row.items():
-        if k not in known and v not in (None, ""):
-            out[k] = scalar(v)
-    return out
 
+def _json_props(c: str) -> Column:
+    """A variant object as a property map; values that are no property have a null tag."""
+    return F.expr(f"coalesce(transform_values(try_variant_get({c}, '$', 'map<string,variant>'), (k, v) -> {_pv('v')}), map())").cast(PROPS)
 
-def read_nodes_csv(spark: SparkSession, path: str) -> list[dict[str, Any]]:
-    """Node records: labels split on ``|``, properties from a JSON column and from extra columns."""
-    known, out = {"external_id", "labels", "properties"}, []
-    for r in _csv(spark, path).toLocalIterator():
-        r = r.asDict()
-        out.append({"external_id": r.get("external_id") or None, "labels": [x for x in (r.get("labels") or "").split("|") if x], "properties": _properties(r, known)})
-    return out
 
+def _cell(c: str) -> Column:
+    """A CSV cell: a JSON scalar if it is one, else its text."""
+    v = _pv(f"try_parse_json(`{c}`)")
+    text = f"named_struct('t', 'string', 'b', cast(null AS boolean), 'i', cast(null AS bigint), 'f', cast(null AS double), 's', `{c}`)"
+    return F.expr(f"CASE WHEN {v}.t IS NULL THEN {text} ELSE {v} END")
 
-def read_edges_csv(spark: SparkSession, path: str) -> list[dict[str, Any]]:
-    known, out = {"source", "target", "edge_type", "type", "properties"}, []
-    for r in _csv(spark, path).toLocalIterator():
-        r = r.asDict()
-        out.append({"source": r["source"], "target": r["target"], "edge_type": r.get("edge_type") or r.get("type"), "properties": _properties(r, known)})
-    return out
 
+def _csv_props(df: DataFrame, known: set[str]) -> Column:
+    """The JSON object of ``properties``, overlaid with the extra columns that are not empty."""
+    out = F.create_map().cast(PROPS)
+    if "properties" in df.columns:
+        out = _json_props("parsed")
+    extra = [c for c in df.columns if c not in known]
+    if not extra:
+        return out
+    entries = F.array(*[F.struct(F.lit(c).alias("key"), _cell(c).alias("value"), (F.coalesce(F.col(f"`{c}`"), F.lit("")) != "").alias("there")) for c in extra])
+    given = F.map_from_entries(F.transform(F.filter(entries, lambda e: e["there"]), lambda e: F.struct(e["key"], e["value"])))
+    return F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(given, k)), given).cast(PROPS)
 
-def read_jsonl(spark: SparkSession, path: str) -> list[dict[str, Any]]:
-    """Objects of a JSONL file, one a line; blank lines and exported ids are skipped."""
-    rows = [json.loads(r.value) for r in spark.read.text(path).where("trim(value) <> ''").toLocalIterator()]
-    return [{k: v for k, v in r.items() if k != "id"} for r in rows]
 
+def _column(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
-def resolve_ends(data: GraphData, records: list[dict[str, Any]]) -> list[dict[str, Any]]:
-    """Edge ends as node ids: an id first, an external id otherwise."""
-    names = sorted({str(r[k]) for r in records for k in ("source", "target")})
-    if not names:
-        return records
-    asked = data.spark.createDataFrame([(n,) for n in names], "name string")
-    nodes = data.node_scan().df.select("id", "external_id")
-    by_id = {r.name: r.id for r in asked.join(nodes, asked.name.try_cast("long") == nodes.id).where(asked.name.rlike("^[0-9]+$")).select("name", "id").collect()}
-    by_name = {r.name: r.id for r in asked.join(nodes, asked.name == nodes.external_id).select("name", "id").collect()}
-    out = []
-    for r in records:
-        ends = {}
-        for k in ("source", "target"):
-            key = str(r[k])
-            found = by_id.get(key, by_name.get(key))
-            if found is None:
-                raise KeyError(f"node {key} not found")
-            ends[k] = found
-        if not r.get("edge_type") and r.get("type"):
-            r = {**{k: v for k, v in r.items() if k != "type"}, "edge_type": r["type"]}
-        out.append({**r, **ends})
-    return out
 
+def _parsed(df: DataFrame) -> DataFrame:
+    """Add ``parsed``, the JSON of ``properties``; a cell that is no JSON is an error."""
+    if "properties" not in df.columns:
+        return df
+    return df.withColumn("parsed", F.parse_json(F.when(F.col("properties") != "", F.col("properties"))))
 
-def nodes_frame(spark: SparkSession, path: str, properties: dict[str, str], fmt: str = "csv") -> DataFrame:
-    """Bulk import: a file of any size as a native node table, without passing the driver.
 
-    ``properties`` names each property's kind; cells that don't parse become null.
-    """
-    raw = _csv(spark, path) if fmt == "csv" else spark.read.json(path)
-    return raw.select("external_id", F.split("labels", r"\|").alias("labels") if fmt == "csv" else F.col("labels"), *[F.col(k).try_cast(SQL_TYPES[t]).alias(k) for k, t in properties.items()])
+def node_rows_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(external_id, labels, props) of a CSV file: labels split on ``|``, properties from a JSON column and from extra columns."""
+    df = _parsed(_csv(spark, path))
+    props = _csv_props(df, {"external_id", "labels", "properties", "parsed"})
+    external = _column(df, "external_id")
+    labels = F.filter(F.split(F.coalesce(_column(df, "labels"), F.lit("")), r"\|"), lambda x: x != "")
+    return df.select(F.when(external != "", external).alias("external_id"), F.array_distinct(labels).alias("labels"), props.alias("props"))
+
+
+def edge_rows_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, edge_type, props) of a CSV file, ends as texts."""
+    df = _parsed(_csv(spark, path))
+    props = _csv_props(df, {"source", "target", "edge_type", "type", "properties", "parsed"})
+    kind = lambda c: F.when(_column(df, c) != "", _column(df, c))
+    return df.select("source", "target", F.coalesce(kind("edge_type"), kind("type")).alias("edge_type"), props.alias("props"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where("trim(value) <> ''").select(F.parse_json("value").alias("v"))
+
+
+def _field(name: str, kind: str = "string") -> Column:
+    return F.expr(f"try_variant_get(v, '$.{name}', '{kind}')")
+
+
+def node_rows_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(external_id, labels, props) of a JSONL file, an object a line; other fields are left out."""
+    labels = F.coalesce(_field("labels", "array<string>"), F.array().cast("array<string>"))
+    df = _lines(spark, path).select(_field("external_id").alias("external_id"), F.array_distinct(labels).alias("labels"), F.expr("try_variant_get(v, '$.properties', 'variant')").alias("p"))
+    return df.select("external_id", "labels", _json_props("p").alias("props"))
+
+
+def edge_rows_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, edge_type, props) of a JSONL file, ends as texts."""
+    kind = F.coalesce(F.nullif(_field("edge_type"), F.lit("")), F.nullif(_field("type"), F.lit("")))
+    df = _lines(spark, path).select(_field("source").alias("source"), _field("target").alias("target"), kind.alias("edge_type"), F.expr("try_variant_get(v, '$.properties', 'variant')").alias("p"))
+    return df.select("source", "target", "edge_type", _json_props("p").alias("props"))
+
+
+def resolved(data: GraphData, rows: DataFrame) -> DataFrame:
+    """Edge rows with ``src`` and ``dst``: an end is a node's id if there is one, else its external id; null if neither is."""
+    nodes = data.node_scan().df.select("id", "external_id")
+    for end, to in (("source", "src"), ("target", "dst")):
+        number = F.when(F.col(end).rlike("^[0-9]+$"), F.col(end).try_cast("long"))
+        by_id = nodes.select(F.col("id").alias("__number"), F.col("id").alias("__by_id"))
+        by_name = nodes.select(F.col("external_id").alias(end), F.col("id").alias("__by_name"))
+        rows = rows.withColumn("__number", number).join(by_id, "__number", "left").join(by_name, end, "left")
+        rows = rows.withColumn(to, F.coalesce("__by_id", "__by_name")).drop("__number", "__by_id", "__by_name")
+    return rows
 
 
 def _sorted_json(columns: list[tuple[str, Any]]):
@@ -184,13 +208,22 @@ def wikidata(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("qid is not null").groupBy("qid").agg(first("label"), first("description"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"), first("enwiki_title"), first("wiki_text"), F.array_distinct(F.flatten(F.collect_list("claims"))).alias("claims"))
 
 
-def pokec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(users, friendships) of a file of CREATE and MATCH statements."""
-    lines = spark.read.text(path)
+def pokec(spark: SparkSession, path: str, max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(users, friendships) of a file of CREATE and MATCH statements.
+
+    ``max_nodes`` keeps the first users, ``max_edges`` the first friendships between
+    users that were kept, both in the file's order.
+    """
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     users = lines.where(F.col("value").startswith("CREATE")).select(
+        "at",
         *[F.regexp_extract("value", rf"\b{k}:\s*(-?\d+)", 1).try_cast("long").alias(k) for k in ("id", "completion_percentage", "age")],
         F.regexp_extract("value", r'gender:\s*"([^"]*)"', 1).alias("gender"),
     )
+    users = users.orderBy("at").limit(max_nodes) if max_nodes is not None else users
     ids = F.regexp_extract_all("value", F.lit(r"\bid:\s*(\d+)"), 1)
-    friends = lines.where(F.col("value").startswith("MATCH")).select(ids.alias("i")).where("size(i) >= 2").select(F.col("i")[0].cast("long").alias("source_id"), F.col("i")[1].cast("long").alias("target_id"))
-    return users, friends
+    friends = lines.where(F.col("value").startswith("MATCH")).select("at", ids.alias("i")).where("size(i) >= 2").select("at", F.col("i")[0].cast("long").alias("source_id"), F.col("i")[1].cast("long").alias("target_id"))
+    for end in ("source_id", "target_id"):
+        friends = friends.join(users.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+    friends = friends.orderBy("at").limit(max_edges) if max_edges is not None else friends
+    return users.drop("at"), friends.select("source_id", "target_id")

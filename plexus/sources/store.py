@@ -1,7 +1,8 @@
 """Versioned Parquet store with a JSON manifest.
 
-A version is the set of table folders that its manifest names. Writing a version
-writes the changed tables to new folders and then publishes the next numbered
+A version is the set of table folders that its manifest names, one or several a
+table. Writing a version writes the rows that it appends, or a changed table as a
+whole, to new folders and then publishes the next numbered
 manifest, which must not exist yet: the version check and the publication are one
 rename, so two writers can't both win. Everything goes through Hadoop file
 systems, so a store can be on any that Spark knows.
@@ -13,11 +14,13 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..model import TABLES, GraphData, Source
 
 PROPERTY_TABLES = ("nodes", "edges")
+#: A table with more folders than this is written anew as one.
+COMPACT_AFTER = 12
 
 
 class StaleGraph(RuntimeError):
@@ -56,7 +59,7 @@ class Store:
         if not version:
             return empty.with_(nodes=(Source(empty.table("nodes")),), edges=(Source(empty.table("edges")),))
         m = self._read(version)
-        tables = {k: self.spark.read.schema(TABLES[k]).parquet(f"{self.root}/{folder}") for k, folder in m["tables"].items()}
+        tables = {k: self.spark.read.schema(TABLES[k]).parquet(*[f"{self.root}/{f}" for f in folders]) for k, folders in m["tables"].items()}
         get = lambda k: tables[k] if k in tables else empty.table(k)
         rest = {k: v for k, v in tables.items() if k not in PROPERTY_TABLES}
         return GraphData(self.spark, (Source(get("nodes")),), (Source(get("edges")),), rest, m["fulltext"], m["vector"], m["counters"], version)
@@ -65,19 +68,26 @@ class Store:
         """(version, operation) of every mutation so far."""
         return [(v, self._read(v)["operation"]) for v in self._manifests()]
 
-    def save(self, data: GraphData, changed: set[str], operation: str) -> GraphData:
-        """Publish ``data`` as the version after its own, or raise if another writer was first."""
+    def save(self, data: GraphData, changed: set[str], operation: str, appended: dict[str, DataFrame] | None = None) -> GraphData:
+        """Publish ``data`` as the version after its own, or raise if another writer was first.
+
+        ``changed`` names the tables that are written as a whole; of a table in
+        ``appended`` only the rows given there are, beside its folders so far.
+        """
         current = self.version()
         if current != data.version:
             raise StaleGraph("graph changed in its store; call refresh() before writing")
         before = self._read(current)["tables"] if current else {}
         frames = {"nodes": data.node_table, "edges": data.edge_table} | {k: (lambda k=k: data.table(k)) for k in data.tables}
-        folders = {k: v for k, v in before.items() if k in frames}
+        folders = {k: list(v) for k, v in before.items() if k in frames}
         for k in frames:
-            if k in changed or k not in folders:
-                folders[k] = f"tables/{k}-{current + 1:012d}-{uuid.uuid4().hex[:8]}"
+            delta = (appended or {}).get(k)
+            whole = k not in folders or k in changed or len(folders[k]) >= COMPACT_AFTER
+            if whole or delta is not None:
+                folder = f"tables/{k}-{current + 1:012d}-{uuid.uuid4().hex[:8]}"
                 columns = [c.split()[0] for c in TABLES[k].replace("struct<t:string,b:boolean,i:bigint,f:double,s:string>", "pv").split(", ")]
-                frames[k]().select(*columns).write.parquet(f"{self.root}/{folders[k]}")
+                (frames[k]() if whole else delta).select(*columns).write.parquet(f"{self.root}/{folder}")
+                folders[k] = [folder] if whole else [*folders[k], folder]
         manifest = {"operation": operation, "tables": folders, "fulltext": data.fulltext, "vector": data.vector, "counters": data.counters}
         draft = self.Path(f"{self.path}/manifests/{uuid.uuid4().hex}.draft")
         out = self.fs.create(draft)
@@ -96,3 +106,13 @@ class Store:
         if other.version():
             raise ValueError("backup target is not empty")
         other.save(data.with_(version=0), set(TABLES), "backup")
+
+    def restore(self, source: str, version: int | None = None, overwrite: bool = False) -> GraphData:
+        """Make a backup's state this store's next version; what it held before stays among its versions."""
+        backup = Store(self.spark, source)
+        if not backup.version():
+            raise KeyError(f"backup {source!r} not found")
+        current = self.version()
+        if current and not overwrite:
+            raise ValueError("graph already exists; restore with overwrite to replace its state")
+        return self.save(backup.load(version).with_(version=current), set(TABLES), "restore")

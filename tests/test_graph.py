@@ -77,6 +77,8 @@ def test_propagation_golden(spark):
     assert g.local_propagate({a: 1.0}, 2, edge_type="P") == {a: 1.0, b: 0.5, c: 0.125}
     with pytest.raises(ValueError, match="damping must be between 0.0 and 1.0"):
         g.propagate({a: 1.0}, 1, damping=1.5)
+    with pytest.raises(ValueError, match="seed probabilities must be finite and non-negative"):
+        g.propagate({a: -0.1}, 1)
 
 
 def test_structured_queries(people):
@@ -267,6 +269,52 @@ def test_store(spark, tmp_path):
     assert g.store.load(1).node_table().count() == 1
 
 
+def test_store_keeps_every_factor_table(spark, tmp_path):
+    path = f"file://{tmp_path}/g"
+    g = Graph(path, spark)
+    v = [g.add_variable("binary", prior={"p": 0.3}) for _ in range(2)]
+    g.add_factor_table([v[0]], [1.0, 3.0])
+    g.add_cpd(v[1], [v[0]], [0.9, 0.1, 0.2, 0.8])
+    for h in (g, Graph.open(path, spark)):
+        assert h.factor_count() == 2
+        assert sorted((r.factor_id, r.is_cpd, list(r["values"])) for r in h.data.table("factor_tables").collect()) == [(0, False, [1.0, 3.0]), (1, True, [0.9, 0.1, 0.2, 0.8])]
+    assert g.belief_propagation(damping=0.0)["beliefs"] == Graph.open(path, spark).belief_propagation(damping=0.0)["beliefs"]
+
+
+def test_store_appends_and_folds(spark, tmp_path):
+    path = f"file://{tmp_path}/g"
+    g = Graph(path, spark)
+    for i in range(16):
+        g.add_node(f"n{i}")
+    tables = g.store._read(g.store.version())["tables"]
+    assert 1 < len(tables["nodes"]) <= 13 and len(tables["edges"]) == 1
+    g.cypher("MATCH (n {external_id: 'n3'}) SET n.seen = true")
+    after = g.store._read(g.store.version())["tables"]
+    assert len(after["nodes"]) == 1 and after["edges"] == tables["edges"]
+    assert [n["external_id"] for n in Graph.open(path, spark).nodes()] == [f"n{i}" for i in range(16)]
+
+
+def test_bad_import_rows(spark, tmp_path):
+    g = Graph(spark=spark)
+    cases = {
+        "external_id,properties\na,\na,\n": (ValueError, "already exists"),
+        'external_id,properties\na,"{""x"": [1]}"\n': (TypeError, "must be a boolean"),
+        'external_id,properties\na,"{""x"": null}"\n': (TypeError, "must be a boolean"),
+    }
+    for i, (text, (kind, said)) in enumerate(cases.items()):
+        (tmp_path / f"{i}.csv").write_text(text)
+        with pytest.raises(kind, match=said):
+            g.import_nodes_csv(f"file://{tmp_path}/{i}.csv")
+    assert g.node_count() == 0
+    (tmp_path / "e.csv").write_text("source,target,type\nx,y,T\n")
+    with pytest.raises(KeyError, match="node x not found"):
+        g.import_edges_csv(f"file://{tmp_path}/e.csv")
+    (tmp_path / "n.jsonl").write_text('{"external_id": "p", "labels": ["L", "L"], "properties": {"i": 1, "f": 1.0, "s": "1", "b": true, "e": 2e3}}\n\n{"labels": []}\n')
+    assert g.import_nodes_jsonl(f"file://{tmp_path}/n.jsonl") == [0, 1]
+    assert g.nodes() == [{"id": 0, "external_id": "p", "labels": ["L"], "properties": {"i": 1, "f": 1.0, "s": "1", "b": True, "e": 2000.0}}, {"id": 1, "external_id": "node:1", "labels": [], "properties": {}}]
+    assert isinstance(g.get_node(0)["properties"]["f"], float) and g.get_node(0)["properties"]["b"] is True
+
+
 def test_files(spark, tmp_path):
     g = Graph(spark=spark)
     (tmp_path / "n.csv").write_text('external_id,labels,properties,rank,flag\na,Document|Chunk,"{""t"": ""x, y""}",3,true\nb,,,,\n')

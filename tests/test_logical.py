@@ -40,6 +40,26 @@ def test_registry(spark, tmp_path):
         r.get(key)
     with pytest.raises(ValueError):
         r.snapshot("g", ttl=1e6)
+    r.backup("g", f"file://{tmp_path}/backup")
+    r.open("g").add_node("later")
+    with pytest.raises(ValueError, match="already exists"):
+        r.restore("g", f"file://{tmp_path}/backup")
+    with pytest.raises(KeyError, match="not found"):
+        r.restore("g", f"file://{tmp_path}/nothing", overwrite=True)
+    assert r.restore("g", f"file://{tmp_path}/backup", overwrite=True).node_count() == 2
+    assert r.restore("h", f"file://{tmp_path}/backup").node_count() == 2 and r.open("h").add_node("x") == 2
+
+
+def test_registry_files(spark, tmp_path):
+    r = Registry(spark, f"file://{tmp_path}")
+    (tmp_path / "imports").mkdir()
+    (tmp_path / "imports" / "n.csv").write_text("external_id\na\nb\n")
+    assert r.import_nodes("g", "n.csv") == [0, 1]
+    r.export_nodes("g", "out/n")
+    assert list((tmp_path / "exports" / "out" / "n").glob("part*"))
+    for call in (lambda: r.import_nodes("g", "../n.csv"), lambda: r.export_edges("g", "/tmp/x"), lambda: Registry(spark).import_edges("g", "e.csv")):
+        with pytest.raises(ValueError):
+            call()
 
 
 def test_chunk_retrieval(spark):

@@ -136,9 +136,11 @@ def test_hash_embedding():
 
 
 def test_line_loaders(spark, tmp_path):
-    (tmp_path / "p.txt").write_text('CREATE (:User {id: 1, completion_percentage: 14, gender: "man", age: 26});\nMATCH (n:User {id: 1}), (m:User {id: 2}) CREATE (n)-[e: Friend]->(m);\n')
+    (tmp_path / "p.txt").write_text('CREATE (:User {id: 1, completion_percentage: 14, gender: "man", age: 26});\nCREATE (:User {id: 2, completion_percentage: 5, gender: "woman", age: 30});\nMATCH (n:User {id: 1}), (m:User {id: 9}) CREATE (n)-[e: Friend]->(m);\nMATCH (n:User {id: 1}), (m:User {id: 2}) CREATE (n)-[e: Friend]->(m);\n')
     users, friends = files.pokec(spark, f"file://{tmp_path}/p.txt")
-    assert tuple(users.first()) == (1, 14, 26, "man") and tuple(friends.first()) == (1, 2)
+    assert tuple(users.first()) == (1, 14, 26, "man") and [tuple(r) for r in friends.collect()] == [(1, 2)]
+    users, friends = files.pokec(spark, f"file://{tmp_path}/p.txt", max_nodes=1, max_edges=5)
+    assert users.count() == 1 and friends.count() == 0
     (tmp_path / "w.jsonl").write_text('{"qid":"Q1","label":"a","aliases":["x"]}\n{"qid":"Q1","aliases":["x","y"],"claims":[{"property":"P1","target":"Q2"}]}\n')
     row = files.wikidata(spark, f"file://{tmp_path}/w.jsonl").first()
     assert row.label == "a" and sorted(row.aliases) == ["x", "y"] and row.claims[0].target == "Q2"
@@ -164,3 +166,48 @@ def test_vector_search_without_limit(docs, spark, sf):
     assert [r.id for r in search.search_vector(docs.data, index, [1.0, 0.0, 0.0], limit=None, offset=1).collect()] == [1]
     plan = QUERIES["vec_min_score"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan
+
+
+def test_search_each_equals_single_searches(docs, spark):
+    queries = spark.createDataFrame([(5, [1.0, 0.2, 0.0]), (9, [0.0, 1.0, 0.5])], "query long, vector array<double>")
+    index = docs.data.vector["vec"]
+    got = {}
+    for r in search.search_each(docs.data, index, queries, limit=3, offset=1).orderBy("query", "position").collect():
+        got.setdefault(r["query"], []).append((r.id, round(r.score, 9)))
+    for k, v in ((5, [1.0, 0.2, 0.0]), (9, [0.0, 1.0, 0.5])):
+        assert got.get(k, []) == [(r.id, round(r.score, 9)) for r in search.search_vector(docs.data, index, v, limit=3, offset=1).collect()]
+    short = spark.createDataFrame([(1, [1.0])], "query long, vector array<double>")
+    with pytest.raises(Exception, match="query vector dimensions must be 3, not 1"):
+        search.search_each(docs.data, index, short).collect()
+
+
+def test_word_table_gives_the_same(spark):
+    from plexus.graph import Graph
+
+    g = Graph(spark=spark)
+    texts = ["Graph memory, graphs", "memory of a graph_x", "a b", "\x1cgraph é memory", None]
+    g.add_nodes([{"labels": ["D"], "properties": {"t": t or "", "u": "memory" if i == 2 else "z"}} for i, t in enumerate(texts)])
+    g.create_fulltext_index("i", ["t", "u"])
+    asked = [("graph memory", "all"), ("graph a", "any"), ("gra mem", "prefix"), ("g m", "prefix"), ("memory of", "phrase")]
+    plain = [g.search_text("i", q, m) for q, m in asked]
+    g.rebuild_fulltext_index()
+    assert g._tokens("i") is not None and [g.search_text("i", q, m) for q, m in asked] == plain
+    assert any(plain)
+    assert g.search_text("i", "memory", labels=["D"], properties={"u": "memory"}) == [x for x in g.search_text("i", "memory") if x["id"] == 2]
+    g.add_node(labels=["D"], properties={"t": "graph memory"})
+    assert g._tokens("i") is None and len(g.search_text("i", "graph memory")) == len(plain[0]) + 1
+
+
+def test_filters_of_the_wrong_kind_are_errors(docs):
+    from plexus.operators.search import retrieve_context
+
+    with pytest.raises(ValueError, match="edge_type cannot be used with a node"):
+        retrieve_context(docs.data, text_query="graph", text_index=next(iter(docs.data.fulltext.values())), edge_type="X")
+
+
+def test_query_normaliser_keeps_separator_controls(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a\x1cB", " \x1d x\u3000y ", "A\u00a0b", "\x1f"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(search.normalize(F.col("t"))).collect()
+    assert [r[0] for r in got] == [search.normalize_python(t) for t in texts]
