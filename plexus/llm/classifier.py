@@ -33,7 +33,7 @@ TRAIN_ROWS = 6000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Hasher(dict):

@@ -41,27 +41,34 @@ SHINGLE = 4
 SEED = 42
 
 
-def fingerprint(data: bytes, words_per_shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a UTF-8 text: a bit is set if over half of the shingle hashes have it."""
+def shingle_hashes(data: bytes, words_per_shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included; of the whole sequence where it is shorter."""
     words = data.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n < words_per_shingle:
-        return digest(line, seed)
+        return np.array([digest(line, seed)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
     last = n - words_per_shingle + 1
-    spans = zip(starts[:last].tolist(), ends[words_per_shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, last)
+    spans = zip((ends - lengths)[:last].tolist(), ends[words_per_shingle - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, last)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes: a bit is set if over half of them have it; zero for none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, last, 4096):
+    for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * counts > last, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(data: bytes, words_per_shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(data, words_per_shingle, seed))
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -197,9 +204,11 @@ def near_groups(docs: DataFrame, words_per_shingle: int = SHINGLE, max_bits: int
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     roots = connected_components(links(classes, classes.count(), max_bits))
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    # Both sides of the join on the root are written tables, so a large component can be split.
+    joined = materialize(joined, "rooted")
     whole = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("component_size"))
-    shared = joined.join(whole.where("component_size > 1"), "root").select("fp", "component_id", "component_size")
-    shared = materialize(shared, "components")
+    whole = materialize(whole.where("component_size > 1"), "wholes")
+    shared = materialize(joined.join(whole, "root").select("fp", "component_id", "component_size"), "components")
     out = rows.join(shared, "fp", "left")
     return out.select(
         "doc_id",

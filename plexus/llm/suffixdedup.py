@@ -25,7 +25,7 @@ compared byte by byte.
 
 Defined results: null texts count as empty; a text below 100 bytes stays whole.
 Rows with equal or null doc_ids are ordered by doc_id (nulls first), then by
-text, and each is a document of its own.
+their text's hash, and each is a document of its own; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, new_folder, shuffle_width, utf8
+from .common import keyed, materialize, new_folder, shuffle_width, utf8
 from .inducedsort import repeated_windows, spill_folder
 
 WINDOW = 100
@@ -137,19 +137,8 @@ def _batch(kind: int, h, c, key, place) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (h, c, key, place))], NAMES)
 
 
-def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, doc_id, text, *carry): key is unique and follows the documents' order."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    odd = slim.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return slim.select(F.col("doc_id").alias("key"), "*")
-    ordered = materialize(slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("at", F.monotonically_increasing_id()), "ordered")
-    # The ids of the sorted partitions rise with the order, which is all that a key must do.
-    return ordered.select(F.col("at").alias("key"), "doc_id", "text", *carry)
-
-
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, place) of the runs of repeated windows; ``docs`` comes from ``keyed``."""
+    """(key, place) of the runs of repeated windows; ``docs`` is (key, text), key unique and in the documents' order."""
     spark, shard = docs.sparkSession, SHARD
     root = new_folder(spark, "suffixes")
 
@@ -335,14 +324,15 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     segments_ = docs.select("key", "text").mapInArrow(scan, ROW)
     settled = materialize(segments_.repartition(n, "h").sortWithinPartitions("h", "c", "key", "place").mapInArrow(settle, ROW), "settled")
 
-    def bytes_of(kind):
+    def bytes_of(kind, then=None, schema="h long, key long, place long, cell binary"):
         wanted = settled.where(f"kind = {kind}").groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
         cells = docs.select("key", "text").join(wanted, "key").select("key", "text", "wanted")
-        return cells.mapInArrow(cut_out, "h long, key long, place long, cell binary")
+        # One step in Python, as a stage with two would hold two workers a core.
+        return cells.mapInArrow((lambda batches: then(cut_out(batches))) if then else cut_out, schema)
 
     borders = bytes_of(SEGMENT).repartition(n, "h").sortWithinPartitions("h").mapInArrow(sort_shards, ROW)
     if not settled.where(f"kind = {SPLIT}").isEmpty():
-        singles = bytes_of(SPLIT).mapInArrow(split_windows, ROW).repartition(n, "h", "c")
+        singles = bytes_of(SPLIT, split_windows, ROW).repartition(n, "h", "c")
         borders = borders.unionAll(singles.sortWithinPartitions("h", "c", "key", "place").mapInArrow(later_windows, ROW))
     return settled.where(f"kind = {FOUND}").unionAll(borders).select("key", "place")
 
@@ -353,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     kept is the remaining text; characters that a cut has left incomplete are
     not in it, while the digest covers all remaining bytes.
     """
-    table = keyed(docs, carry)
+    table = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry), "key")
     runs = materialize(repeated(table, window), "runs")
     runs = runs.groupBy("key").agg(F.collect_list("place").alias("runs"))
     joined = table.join(runs, "key", "left").select("doc_id", "text", "runs", *carry)

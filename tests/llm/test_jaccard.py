@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from plexus.llm import jaccard, simhash
 
 D = "/root/testdata/sf0.001"
 
@@ -55,3 +56,41 @@ def test_smallest_table(spark):
     want = kept(rows)
     assert 177 not in want  # differs from an earlier row in more than 4 bits of 64
     assert stage(spark, rows) == want
+
+
+def test_common_passages_and_hot_groups(spark, monkeypatch):
+    """Shingles beyond HOT texts, groups beyond a chunk, and texts that only the second prefixes join."""
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "HOT_HERE", 4)
+    monkeypatch.setattr(jaccard, "CHUNK", 5)
+    random.seed(11)
+    word = lambda: f"w{random.randrange(100_000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for _ in range(40):  # a passage that many texts hold, each otherwise different
+        rows.append((len(rows), " ".join([word() for _ in range(50)] + passage + [word() for _ in range(20)])))
+    base = [word() for _ in range(80)]
+    for _ in range(40):  # a chain of edits, whose ends are no near copies of each other
+        base = list(base)
+        base[random.randrange(80)] = word()
+        rows.append((len(rows), " ".join(base)))
+    for k in (3, 17, 25):  # near copies of texts with the passage
+        text = rows[k][1].split()
+        text[5] = "edited"
+        rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows) + i, " ".join(passage)) for i in range(12)] + [(200, " ".join(passage[:55] + ["end"]))]
+    want = kept(rows)
+    assert len(want) < len(rows) - 40
+    assert stage(spark, rows) == want
+
+
+def test_most_copies_are_linked_by_fingerprints(spark):
+    """What the trees contribute before the rest: single edits of long texts."""
+    random.seed(5)
+    rows = []
+    for _ in range(30):
+        base = [f"v{random.randrange(5000)}" for _ in range(400)]
+        rows.append(base)
+        rows.append(base[:200] + ["x"] + base[201:])
+    near = sum((simhash.fingerprint(" ".join(a).encode(), 5) ^ simhash.fingerprint(" ".join(b).encode(), 5)).bit_count() <= simhash.MAX_BITS for a, b in zip(rows[::2], rows[1::2], strict=True))
+    assert near >= 20
