@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import bounded_sample, serve
 
 BITS = 18
 TRAIN_ROWS = 6000
@@ -96,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exclude_held
     texts = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality"), F.xxhash64("text")).alias("one")).select("doc_id", "one.text", "one.quality")
 
     def encode(batches):
+        serve("classifier", _hasher.clear)
         for batch in batches:
             pairs = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -121,6 +122,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        serve("classifier", _hasher.clear)
         w = table.value.astype(np.float64)
         for batch in batches:
             out = []

@@ -127,6 +127,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at
 
 
+_serving: dict = {"name": None, "drop": None}
+
+
+def serve(name: str, drop=None) -> None:
+    """Tell this worker which operator it serves: what another one has cached is dropped."""
+    if _serving["name"] != name:
+        if _serving["drop"]:
+            _serving["drop"]()
+        _serving.update(name=name, drop=drop)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long) that isn't its component's smallest.
 

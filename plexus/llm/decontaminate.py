@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each
+from .common import each, serve
 
 Q = 8
 RATE = 0.06
@@ -268,6 +268,7 @@ def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS):
 
 def _tables(name: str, table) -> ItemBlock:
     """The worker's tables of the block ``name``."""
+    serve("items", _blocks.clear)
     if name not in _blocks:
         _blocks.clear()
         _blocks[name] = ItemBlock(table.value)

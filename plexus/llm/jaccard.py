@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, discard, materialize, shuffle_width, utf8
+from .common import connected_components, discard, materialize, serve, shuffle_width, utf8
 
 SHINGLE = 5
 SKETCH = 1024
@@ -101,6 +101,7 @@ def prints(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        serve("prints")
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
@@ -267,8 +268,8 @@ def next_prefixes(one: DataFrame, docs: DataFrame, again: np.ndarray, often: np.
     rest = found.where("prefix is null").select("key", "n")
     if rest.isEmpty():
         return found
-    rest = of_keys(docs, rest).join(rest, "key").select("key", "n", "text")
     # Written, as a stage with two Python steps would hold two workers a core.
+    rest = materialize(of_keys(docs, rest), "candidates").join(rest, "key").select("key", "n", "text")
     return found.where("prefix is not null").unionAll(materialize(rest.mapInArrow(read, schema), "prefixes"))
 
 

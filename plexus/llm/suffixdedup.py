@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, materialize, new_folder, shuffle_width, utf8
+from .common import keyed, materialize, new_folder, serve, shuffle_width, utf8
 from .inducedsort import repeated_windows, spill_folder
 
 WINDOW = 100
@@ -143,6 +143,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     root = new_folder(spark, "suffixes")
 
     def scan(batches):
+        serve("segments")
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             data, at = utf8(batch.column(1))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each
+from .common import each, serve
 from .tokens import LONGEST, TokenCounter, library, public_path
 
 FREQUENT = 8192
@@ -57,6 +57,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     made = uuid.uuid4().hex
 
     def run(batches):
+        serve("counts", _counters.clear)
         counter = _counters.get(made)
         if counter is None:
             _counters.clear()

@@ -20,6 +20,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import serve
+
 #: Entries of a cache's newer half; what has not been met since the last turn goes with the older one.
 CACHE_WORDS = 200_000
 LONGEST = 64
@@ -116,9 +118,15 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
+_encoders: dict[str, WordEncoder] = {}
+
+
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """This worker's encoder, kept until the worker serves another operator."""
+    serve("words", _encoders.clear)
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 class _Frequent(dict):
